@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import workers_find_package
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` uses exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: texts are long, so batches are kept small.
@@ -20,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: few texts in each Arrow batch."""
+    workers_find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

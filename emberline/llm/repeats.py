@@ -253,31 +253,52 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text`` on request).
+def _decisions(docs: DataFrame, keys: DataFrame, length: int, with_text: bool) -> DataFrame:
+    """By key of the texts that lose something or occur more than once (n_removed -1); keys: one row per document."""
+    copies = keys.groupBy("key").agg(F.count("*").alias("n"))
+    spans = repeated_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    single = spans.join(copies.where("n = 1").select("key"), "key", "left_semi")
+    done = _texts(docs).join(single, "key").select("key", "text", "spans").mapInArrow(partial(_digests, with_text=with_text), "key long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept_text string")
+    return done.unionByName(copies.where("n > 1").select("key", F.lit(-1).cast("long").alias("n_removed")), allowMissingColumns=True)
+
+
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     A byte is removed if a string of ``length`` bytes that covers it starts anywhere else too, in any document or in
     the same one; strings are judged on the input and may overlap. Null texts count as empty; empty and short texts
     lose nothing; equal texts of ``length`` bytes or more lose everything. Repeated rows count as documents of their
     own. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     text = text_or_empty()
-    index = cut(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")).withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")))
-    copies = index.groupBy("key").agg(F.count("*").alias("n"))
-    spans = repeated_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    single = spans.join(copies.where("n = 1").select("key"), "key", "left_semi")
-    done = _texts(docs).join(single, "key").select("key", "text", "spans").mapInArrow(partial(_digests, with_text=with_text), "key long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept_text string")
-    done = done.unionByName(copies.where("n > 1").select("key", F.lit(-1).cast("long").alias("n_removed")), allowMissingColumns=True)
+    index = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    index = cut(index.withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")))
+    done = _decisions(docs, index, length, False)
     whole = (F.col("n_removed") == -1) & (F.col("n_bytes") >= length)
     part = F.coalesce(F.col("n_removed"), F.lit(-1)) >= 0
-    out = index.join(done, "key", "left").select(
+    return index.join(done, "key", "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).when(part, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
         F.when(whole, 1).when(part, F.col("n_spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).when(part, F.col("kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"),
-        *([F.when(whole, F.lit("")).when(part, F.col("kept_text")).alias("kept_text")] if with_text else []),
     )
-    return out
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The documents with what is left of their texts (as :func:`remove_repeats` decides) and its ``n_chars``.
+
+    A character that lost some of its bytes is dropped. Texts that lose nothing stay as they are, nulls too.
+    """
+    small_batches(docs.sparkSession)
+    keys = cut(_texts(docs).select("key"))
+    done = _decisions(docs, keys, length, True).select(F.col("key").alias("_key"), "n_removed", "kept_text")
+    text = text_or_empty()
+    whole = (F.col("n_removed") == -1) & (F.octet_length(text) >= length)
+    left = F.when(whole, F.lit("")).when(F.col("n_removed") >= 0, F.col("kept_text")).otherwise(F.col("text"))
+    keyed = docs.withColumn("_own", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
+    out = keyed.join(done, F.col("_own") == F.col("_key"), "left").withColumn("text", left)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return out.select(*docs.columns)
