@@ -242,7 +242,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     small_batches(spark)
     rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, place long")
     counts = rows.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("place").alias("p0"), F.max("place").alias("p1")).where("k0 != k1 or p0 != p1")
-    shared = cut(rows.join(counts.select("anchor"), "anchor", "left_semi").select("key", "anchor", "place"))
+    often = cut(counts.select("anchor"))  # so that the join is of two shuffles alone, and a hot anchor can be split
+    shared = cut(rows.join(often.hint("merge"), "anchor", "left_semi").select("key", "anchor", "place"))
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-shared.count() // PASSAGES))
     places = shared.groupBy("key").agg(F.collect_set(F.struct("anchor", "place")).alias("at"))
