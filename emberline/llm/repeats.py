@@ -23,12 +23,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, release, small_batches, text_or_empty
 
 GRAM = 32
+#: Texts that share an anchor beyond which its passages are grouped by longer cores, and the parts of the starts then.
+HOT, WAYS = 20_000, 2
 #: Symbol of a column outside the document; it equals no byte.
 OUTSIDE = 256
 PLACE = np.uint64((1 << 24) - 1)
@@ -86,39 +89,66 @@ def _key(digest: bytes) -> int:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key) of each text not yet seen in this task -> (hash, key, place)."""
+    """(key, text), each text not yet seen in this task -> (anchor, key, place, more): one row per distinct anchor of a text, with all its places."""
     seen: set[int] = set()
     for b in batches:
-        keys, places, hashes = [], [], []
+        keys, anchor, place, more = [], [], [], []
         for k, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             if k in seen or len(text) < length:
                 continue
             if len(seen) < 1 << 20:  # what isn't known any more is only sent twice
                 seen.add(k)
             p, h = anchors(np.frombuffer(text, np.uint8), length)
-            keys.append(np.full(len(p), k, np.int64)), places.append(p), hashes.append(h.view(np.int64))
+            own, first, n = np.unique(h.view(np.int64), return_index=True, return_counts=True)
+            keys.append(np.full(len(own), k, np.int64)), anchor.append(own), place.append(p[first])
+            rest: list = [None] * len(own)
+            if len(own) < len(h):
+                order = np.argsort(h.view(np.int64), kind="stable")
+                ends = np.cumsum(n)
+                for i in np.flatnonzero(n > 1):
+                    rest[i] = p[order[ends[i] - n[i] + 1 : ends[i]]]
+            more += rest
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places)], ["anchor", "key", "place"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (anchor, keys, place)), pa.array(more, pa.list_(pa.int64()))], ["anchor", "key", "place", "more"])
+
+
+PASSAGE = "gid long, key long, places array<long>, col0 int, passage binary"
 
 
 def _passage_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, anchors, places) -> (anchor, key, place, passage); the passage is cut at the text's ends."""
+    """(key, text, at) -> PASSAGE rows: equal passages around one anchor of a text are one row with all their places.
+
+    Around a hot anchor strings are dealt by where they start into WAYS parts. All strings of a part hold its core, so
+    the part's passages are grouped by the core's hash rather than by the anchor.
+    """
     side = length - GRAM
+    cuts = [(i * (side + 1) // WAYS, (i + 1) * (side + 1) // WAYS - 1) for i in range(WAYS)]
     for b in batches:
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for k, text, at in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
             for x in at:
-                p = x["place"]
-                out[0].append(x["anchor"]), out[1].append(k), out[2].append(p), out[3].append(text[max(0, p - side) : p + length])
+                own: dict[tuple, list[int]] = {}
+                for p in (x["place"], *(x["more"] or ())):
+                    base = p - side
+                    for lo, hi in cuts if x["hot"] else ((0, side),):
+                        gid = x["anchor"]
+                        if x["hot"]:
+                            if base + hi < 0 or base + lo + length > len(text):
+                                continue  # no string of this part lies in the text
+                            gid = xxhash.xxh64_intdigest(text[base + hi : base + lo + length], lo) >> 1
+                        own.setdefault((gid, max(lo, -base), text[max(0, base + lo) : base + hi + length]), []).append(p)
+                for (gid, col0, passage), places in own.items():
+                    out[0].append(gid), out[1].append(k), out[2].append(places), out[3].append(col0), out[4].append(passage)
             if len(out[0]) > 20_000:
                 yield _batch(out)
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
         if out[0]:
             yield _batch(out)
 
 
 def _batch(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "key", "place", "passage"])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["gid", "key", "places", "col0", "passage"])
 
 
 def repeated_starts(columns: np.ndarray, length: int, starts: int) -> np.ndarray:
@@ -162,24 +192,26 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    t = pa.Table.from_batches(got)
-    del got
-    key, place = (t.column(i).to_numpy() for i in (1, 2))
-    passages = t.column(3).to_pylist()
     side = length - GRAM
     width = side + length
     code: dict[tuple, int] = {}
-    lead = np.minimum(place, side)  # bytes in front of the anchor
-    which = np.fromiter((code.setdefault((int(a), p), len(code)) for a, p in zip(lead, passages)), np.int64, len(passages))
+    which, key, place = [], [], []
+    while got:
+        b = got.pop()
+        n = [code.setdefault(x, len(code)) for x in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        places = b.column(2)
+        each = np.diff(places.offsets.to_numpy())
+        which.append(np.repeat(np.array(n, np.int64), each)), key.append(np.repeat(b.column(1).to_numpy(), each)), place.append(places.flatten().to_numpy())
+    which, key, place = (np.concatenate(x) for x in (which, key, place))
     many = np.bincount(which)  # equal passages are treated as one
     distinct = list(code)
-    del code, passages, t
+    del code
     m = len(distinct)
     columns = np.full((width, m), OUTSIDE, np.uint16)
-    for i, (a, p) in enumerate(distinct):
-        columns[side - a : side - a + len(p), i] = np.frombuffer(p, np.uint8)
-    first = np.array([side - a for a, _ in distinct], np.int64)
-    last = np.array([side - a + len(p) - length for a, p in distinct], np.int64)  # last start inside the text
+    for i, (c, p) in enumerate(distinct):
+        columns[c : c + len(p), i] = np.frombuffer(p, np.uint8)
+    first = np.array([c for c, _ in distinct], np.int64)
+    last = np.array([c + len(p) - length for c, p in distinct], np.int64)  # last start inside the text
     del distinct
     found = repeated_starts(columns, length, side + 1)
     del columns
@@ -240,16 +272,17 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """Rows ``(key, start, stop)``: covered bytes of each distinct text, spans may overlap. Texts that occur as a whole more than once aren't treated here beyond their first copy."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, place long")
-    counts = rows.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("place").alias("p0"), F.max("place").alias("p1")).where("k0 != k1 or p0 != p1")
-    often = cut(counts.select("anchor"))  # so that the join is of two shuffles alone, and a hot anchor can be split
-    shared = cut(rows.join(often.hint("merge"), "anchor", "left_semi").select("key", "anchor", "place"))
+    rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, place long, more array<long>")
+    counts = rows.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.count("more").alias("twice"), F.count("*").alias("n")).where("k0 != k1 or twice > 0")
+    often = cut(counts.select("anchor", (F.col("n") > HOT).alias("hot")))  # so that the join is of two shuffles alone, and a hot anchor can be split
+    shared = cut(rows.join(often.hint("merge"), "anchor").select("key", "anchor", "place", "more", "hot"))
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-shared.count() // PASSAGES))
-    places = shared.groupBy("key").agg(F.collect_set(F.struct("anchor", "place")).alias("at"))
+    shared = shared.dropDuplicates(["key", "anchor"])  # a text that several tasks have sent
+    places = shared.groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "more", "hot")).alias("at"))
     texts = _texts(docs).join(places, "key")
-    passages = texts.select("key", "text", "at").mapInArrow(partial(_passage_rows, length=length), "anchor long, key long, place long, passage binary")
-    spans = cut(passages.repartition(parts, "anchor").mapInArrow(partial(_spans, length=length), "key long, start long, stop long"))
+    passages = texts.select("key", "text", "at").mapInArrow(partial(_passage_rows, length=length), PASSAGE)
+    spans = cut(passages.repartition(parts, "gid").mapInArrow(partial(_spans, length=length), "key long, start long, stop long"))
     release(spark)
     return spans
 
@@ -294,12 +327,12 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keys = cut(_texts(docs).select("key"))
-    done = _decisions(docs, keys, length, True).select(F.col("key").alias("_key"), "n_removed", "kept_text")
+    done = _decisions(docs, keys, length, True).select(F.col("key").alias("__of"), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept"))
     text = text_or_empty()
-    whole = (F.col("n_removed") == -1) & (F.octet_length(text) >= length)
-    left = F.when(whole, F.lit("")).when(F.col("n_removed") >= 0, F.col("kept_text")).otherwise(F.col("text"))
-    keyed = docs.withColumn("_own", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
-    out = keyed.join(done, F.col("_own") == F.col("_key"), "left").withColumn("text", left)
+    whole = (F.col("__removed") == -1) & (F.octet_length(text) >= length)
+    left = F.when(whole, F.lit("")).when(F.col("__removed") >= 0, F.col("__kept")).otherwise(F.col("text"))
+    keyed = docs.withColumn("__own", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
+    out = keyed.join(done, F.col("__own") == F.col("__of"), "left").withColumn("text", left)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
