@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, small_batches
+from emberline.llm.common import cut, share, small_batches
 
 ORDER, CLASSES = 4, 32
 #: Languages with a table of their own, the largest; all others share one.
@@ -25,8 +25,10 @@ LANGUAGES = 32
 #: Trusted documents of a language below which it has no table of its own.
 LEAST = 30
 OTHER = "*"
-#: Quantiles of trusted perplexity between which documents are kept.
-BETWEEN = (0.0, 0.99)
+#: Share of the trusted documents that the models aren't trained on; thresholds come from these.
+HELD = 0.2
+#: Quantile of a language's trusted perplexities up to which documents are kept.
+QUANTILE = 0.99
 
 
 def _classes() -> np.ndarray:
@@ -66,10 +68,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(*(c.to_pylist() for c in b.columns)):
             table = total.setdefault(lang, np.zeros(CLASSES**ORDER, np.int64))
-            np.add(table, 0, out=table) if not text else np.add.at(table, grams(text), 1)
+            np.add.at(table, grams(text), 1)
     for lang, table in total.items():
         g = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g), pa.array(table[g])], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(table[g])], ["lang", "gram", "n"])
 
 
 def discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -113,12 +115,13 @@ def _perplexities(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "perplexity"])
 
 
-def quality(docs: DataFrame, labels: DataFrame, between: tuple[float, float] = BETWEEN) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per document: ``doc_id, model, perplexity, kept``.
 
     Trusted documents have a label ``quality`` 1. The model is the document's language, or ``*`` for null and rare
     ones, which is trained on the trusted text of all languages. Null and empty texts are scored as the end of text
-    alone, at which a start is padded. Without trusted text perplexities are null and all is kept. Repeated rows stay
+    alone, at which a start is padded. Without trusted text perplexities are null; without held-out trusted text of a
+    model all its documents are kept. Repeated rows stay
     repeated and other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -126,7 +129,8 @@ def quality(docs: DataFrame, labels: DataFrame, between: tuple[float, float] = B
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), text)
-    trusted = rows.join(good.hint("merge"), "doc_id", "left_semi")  # labels grow with the documents
+    held = share(F.col("doc_id"), 13) < HELD
+    trusted = rows.where(~held).join(good.where(~held).hint("merge"), "doc_id", "left_semi")  # labels grow with the documents
     counts = cut(trusted.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     starts = counts.where(F.col("gram") < CLASSES).groupBy("lang").agg(F.sum("n").alias("docs")).where(F.col("docs") >= LEAST).where(F.col("lang") != OTHER)
     own = sorted(r["lang"] for r in starts.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect())
@@ -136,5 +140,5 @@ def quality(docs: DataFrame, labels: DataFrame, between: tuple[float, float] = B
     tables = spark.sparkContext.broadcast({r["lang"]: np.frombuffer(r["logs"], np.float32) for r in made})
     model = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(OTHER)) if own else F.lit(OTHER)
     scored = cut(rows.select("doc_id", model.alias("model"), "text").mapInArrow(partial(_perplexities, tables=tables), "doc_id long, model string, perplexity double"))
-    limits = scored.join(good, "doc_id", "left_semi").groupBy("model").agg(*(F.percentile_approx("perplexity", q, 10_000).alias(n) for q, n in zip(between, ("low", "high"))))
-    return scored.join(F.broadcast(limits), "model", "left").select("doc_id", "model", "perplexity", F.coalesce((F.col("perplexity") >= F.col("low")) & (F.col("perplexity") <= F.col("high")), F.lit(True)).alias("kept"))
+    limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
+    return scored.join(F.broadcast(limits), "model", "left").select("doc_id", "model", "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))
