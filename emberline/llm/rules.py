@@ -18,16 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.forest import Forest
 from emberline.llm.common import share, small_batches
 
-TREES, DRAWN = 100, 256
+TREES, DRAWN = 200, 128
 #: Documents that the forest and its threshold are fitted on, about.
 SAMPLE = 12_000
 #: Share of good labelled rows that the threshold may cost.
-LOST = 0.005
+LOST = 0.01
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
+#: Shares that the forest sees.
+SHARES = 13
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 PUNCT = re.compile(r"[^\w\s]")
@@ -71,57 +74,6 @@ def base_failed(n_words, n_repeat):
     return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
 
-class Forest:
-    """Isolation trees in flat arrays; all trees of all rows go down at once."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, drawn: int = DRAWN, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.drawn = min(drawn, len(x))
-        self.depth = max(1, math.ceil(math.log2(max(2, self.drawn))))
-        self.feature, self.split, self.left, self.length, self.roots = [], [], [], [], []
-        for _ in range(trees if len(x) else 0):
-            self.roots.append(self._grow(x[rng.choice(len(x), self.drawn, replace=False)], rng))
-        self.feature, self.split, self.left, self.length, self.roots = map(np.array, (self.feature, self.split, self.left, self.length, self.roots))
-
-    @staticmethod
-    def mean_path(n: int) -> float:
-        """Mean path of an unsuccessful search among n rows."""
-        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-    def _node(self) -> int:
-        for a in (self.feature, self.split, self.left, self.length):
-            a.append(0)
-        return len(self.left) - 1
-
-    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> int:
-        root = self._node()
-        stack = [(root, x, 0)]
-        while stack:
-            at, rows, depth = stack.pop()
-            wide = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if depth < self.depth else ()
-            if not len(wide):
-                self.left[at], self.length[at] = at, depth + self.mean_path(len(rows))  # a leaf leads to itself
-                self.split[at] = math.inf
-                continue
-            f = int(rng.choice(wide))
-            s = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-            below = rows[:, f] <= s
-            self.feature[at], self.split[at], self.left[at] = f, s, self._node()
-            self._node()
-            stack += [(self.left[at], rows[below], depth + 1), (self.left[at] + 1, rows[~below], depth + 1)]
-        return root
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly in (0, 1); 0.5 if the forest is empty."""
-        if not len(self.roots):
-            return np.full(len(x), 0.5)
-        at = np.tile(self.roots, (len(x), 1))
-        rows = np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            at = self.left[at] + (x[rows, self.feature[at]] > self.split[at])
-        return 2.0 ** (-self.length[at].mean(axis=1) / max(self.mean_path(self.drawn), 1e-9))
-
-
 def threshold(scores: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
     """The score above which rows are dropped; infinity without labelled rows of both kinds."""
     if good.all() or not good.any():
@@ -140,7 +92,7 @@ def _measured(batches: Iterator[pa.RecordBatch], model: tuple[Forest, float] | N
     for b in batches:
         got = [statistics(t or "") for t in b.column(1).to_pylist()]
         counts = np.array([c for c, _ in got], np.int64).reshape(-1, len(COUNTS))
-        shares = np.array([s for _, s in got], float).reshape(len(got), -1)
+        shares = np.array([s for _, s in got], float).reshape(len(got), SHARES)
         cols = [b.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS)))]
         if model is None:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(list(shares), pa.list_(pa.float64()))], ["doc_id", *COUNTS, "shares"])
@@ -162,10 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lost: float =
     rows = _texts(docs.where(chosen)).mapInArrow(partial(_measured, model=None), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", shares array<double>")
     known = labels.where(chosen).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     got = rows.join(known, "doc_id", "left").orderBy("doc_id", *COUNTS).select("n_words", "n_repeat_words", "shares", "quality").collect()
-    x = np.array([r["shares"] for r in got], float).reshape(len(got), -1)
+    x = np.array([r["shares"] for r in got], float).reshape(len(got), SHARES)
     use = np.array([not base_failed(r["n_words"], r["n_repeat_words"]) for r in got], bool)
     known = np.array([r["quality"] is not None for r in got], bool) & use
-    forest = Forest(x[use])
+    forest = Forest(x[use], TREES, DRAWN, seed=3)
     return forest, threshold(forest.score(x[known]) if known.any() else np.empty(0), np.array([r["quality"] == 1 for r in got], bool)[known], lost)
 
 
