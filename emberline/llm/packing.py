@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, small_batches
 
-GROUPS = 16
+GROUPS = 64
 #: Lengths over this share of the capacity are large.
-LARGE = 1 / 8
+LARGE = 1 / 3
 
 
 # -- tokens ----------------------------------------------------------------------------------------------------------
