@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Match
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([matcher.features(x) for x in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(2)], ["x", "doc_id"])
 
-    x = np.array([r["x"] for r in sorted(rows.mapInArrow(featured, "x array<double>, doc_id long").collect(), key=lambda r: r["doc_id"])]).reshape(len(got), -1)
+    x = np.array([r["x"] for r in sorted(rows.mapInArrow(featured, "x array<double>, doc_id long").collect(), key=lambda r: r["doc_id"])], float).reshape(len(got), len(matcher.lexicon) + PATTERNS)
     rows.unpersist()
     if not toxic.any() or toxic.all():
         weights = np.zeros(len(matcher.lexicon) + PATTERNS + 1)
