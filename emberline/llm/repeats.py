@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, release, small_batches, text_or_empty
+from emberline.llm.common import cut, release, small_batches, stored, text_or_empty
 
 GRAM = 32
 #: Texts that share an anchor beyond which its passages are grouped by longer cores, and the parts of the starts then.
@@ -275,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, place long, more array<long>")
     counts = rows.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.count("more").alias("twice"), F.count("*").alias("n")).where("k0 != k1 or twice > 0")
     often = cut(counts.select("anchor", (F.col("n") > HOT).alias("hot")))  # so that the join is of two shuffles alone, and a hot anchor can be split
-    shared = cut(rows.join(often.hint("merge"), "anchor").select("key", "anchor", "place", "more", "hot"))
+    shared, drop = stored(rows.join(often.hint("merge"), "anchor").select("key", "anchor", "place", "more", "hot"))
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-shared.count() // PASSAGES))
     shared = shared.dropDuplicates(["key", "anchor"])  # a text that several tasks have sent
@@ -283,6 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     texts = _texts(docs).join(places, "key")
     passages = texts.select("key", "text", "at").mapInArrow(partial(_passage_rows, length=length), PASSAGE)
     spans = cut(passages.repartition(parts, "gid").mapInArrow(partial(_spans, length=length), "key long, start long, stop long"))
+    drop()
     release(spark)
     return spans
 
