@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -56,9 +57,11 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose results have been cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files whose results have been cut; the JVM sees dropped references a round later."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(name: str = "text"):
