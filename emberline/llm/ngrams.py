@@ -1,144 +1,306 @@
-"""Quality by an interpolated modified Kneser-Ney model of character classes, trained on trusted text.
+"""Quality by an interpolated modified Kneser-Ney model of UTF-8 bytes, trained on trusted text.
 
-Characters fall into 32 classes, so a table of all ``ORDER``-grams of a language has a fixed size. Counts of all
-trusted text are gathered in shards by n-gram; a task per language joins the counts of each order with those of its
-contexts and of the next lower order into one table of log probabilities. A document's perplexity is read from the
-table of its language and compared with quantiles of that language's trusted documents.
+Nothing has a fixed size: counts, contexts and probabilities are tables sharded by n-gram, which grow with the trusted
+text. A context has at most 256 continuations and an n-gram at most 256 left extensions, so no key of the model's
+joins is hot.
+
+Texts move into blocks, once to count and once to score. A block counts its trusted n-grams, and asks for each distinct n-gram of its texts once;
+shards join these requests with the model's entries, and the answers return to the block, which adds up the log
+probabilities of its documents. Keys travel as sorted, packed lists. Perplexities are compared with quantiles of the
+same language's trusted documents that the models weren't trained on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, share, small_batches
+from emberline.llm.common import cut, release, share, small_batches
 
-ORDER, CLASSES = 4, 32
-#: Languages with a table of their own, the largest; all others share one.
-LANGUAGES = 32
-#: Trusted documents of a language below which it has no table of its own.
+ORDER = 5
+#: Bytes that UTF-8 doesn't use: before a text and at its end.
+START, END = b"\xff" * (ORDER - 1), b"\xfe"
+#: Languages with a model of their own, the largest; all others share one.
+LANGUAGES = 1000
+#: Trusted documents of a language below which it has no model of its own.
 LEAST = 30
 OTHER = "*"
 #: Share of the trusted documents that the models aren't trained on; thresholds come from these.
 HELD = 0.2
 #: Quantile of a language's trusted perplexities up to which documents are kept.
 QUANTILE = 0.99
+#: Bytes of text in a block; the most shards, and the blocks whose requests one task of a shard answers.
+BLOCK, SHARDS, BLOCKS = 16 << 20, 1009, 1024
+#: Grams of a text that are held at once.
+CHUNK = 1 << 20
+#: A key has the gram in its low bits, then a tag (its order; CONTEXT more for the weight of what follows), then the model.
+GRAM_BITS, CONTEXT = 8 * ORDER, 8
+#: Entries are whole numbers of so many to a unit of the natural logarithm.
+STEPS = 512
+
+
+def grams(text: bytes) -> Iterator[np.ndarray]:
+    """The ORDER bytes up to each byte and up to the text's end, as numbers, in chunks."""
+    data = np.frombuffer(START + text + END, np.uint8)
+    for at in range(0, len(data) - ORDER + 1, CHUNK):
+        part = data[at : at + CHUNK + ORDER - 1].astype(np.int64)
+        g = np.zeros(len(part) - ORDER + 1, np.int64)
+        for i in range(ORDER):
+            g = (g << 8) | part[i : len(part) - ORDER + 1 + i]
+        yield g
+
+
+def counted(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of texts in order, and their counts."""
+    hold, size, done = [], 0, []
+    for text in texts:
+        for g in grams(text):
+            hold.append(g)
+            size += len(g)
+            if size >= CHUNK:
+                done.append(np.unique(np.concatenate(hold), return_counts=True))
+                hold, size = [], 0
+                if len(done) > 7:
+                    done = [summed(done)]
+    if hold:
+        done.append(np.unique(np.concatenate(hold), return_counts=True))
+    return summed(done)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point up to 0x24F: 0 end, 1 space, 2 line end, 3 digit, 4 point, 5 other mark, 6-30 letters, 31 capital."""
-    out = np.full(0x250, 5, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        if ch.isspace():
-            out[c] = 2 if ch == "\n" else 1
-        elif ch.isdigit():
-            out[c] = 3
-        elif ch in ".,;:?'\"-()":
-            out[c] = 4
-        elif ch.isalpha():
-            low = ch.lower()
-            out[c] = 31 if low != ch else 6 + (min(ord(ch) - 97, 23) if "a" <= ch <= "z" else 24)
+def _unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x))
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its keys in their order)."""
+    shard = keys % shards
+    order = np.argsort(shard, kind="stable")
+    at = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(at)):
+        yield int(s), order[at[s] : at[s + 1]]
+
+
+def _by_model(docs: pa.Table) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, m in enumerate(docs.column("model").to_pylist()):
+        out.setdefault(m, []).append(i)
     return out
 
 
-CLASS = _classes()
-
-
-def grams(text: str) -> np.ndarray:
-    """Number of the ORDER-gram that ends at each character and at the text's end; the start is padded."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = np.where(c < 0x250, CLASS[np.minimum(c, 0x24F)], 5 + 25).astype(np.int64)
-    k = np.concatenate([np.zeros(ORDER - 1, np.int64), k, [0]])
-    g = np.zeros(len(k) - ORDER + 1, np.int64)
-    for i in range(ORDER):
-        g = g * CLASSES + k[i : len(k) - ORDER + 1 + i]
-    return g
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, gram, n), summed over the task."""
-    total: dict[str, np.ndarray] = {}
-    for b in batches:
-        for lang, text in zip(*(c.to_pylist() for c in b.columns)):
-            table = total.setdefault(lang, np.zeros(CLASSES**ORDER, np.int64))
-            np.add.at(table, grams(text), 1)
-    for lang, table in total.items():
-        g = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(table[g])], ["lang", "gram", "n"])
-
-
-def discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.1), k) for d, k in zip(raw, (0.9, 1.8, 2.7)))
-
-
-def probabilities(top: np.ndarray) -> np.ndarray:
-    """Counts of all ORDER-grams -> their log probabilities given what stands before."""
-    counts = [top.reshape((CLASSES,) * ORDER)]
-    while counts[0].ndim > 1:  # of a lower order: in how many left contexts
-        counts.insert(0, (counts[0] > 0).sum(axis=0))
-    p = np.full((), 1 / CLASSES)
-    for c in counts:
-        d1, d2, d3 = discounts(c)
-        less = np.select([c == 0, c == 1, c == 2], [0, d1, d2], d3)
-        total = c.sum(axis=-1, keepdims=True)
-        share = np.divide(c - less, total, out=np.zeros(c.shape), where=total > 0)
-        back = np.divide(less.sum(axis=-1, keepdims=True), total, out=np.ones(total.shape), where=total > 0)
-        p = share + back * p
-    return np.log(p).ravel().astype(np.float32)
-
-
-def _table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """All counts of one language, at most CLASSES ** ORDER rows."""
-    top = np.zeros(CLASSES**ORDER, np.int64)
-    top[pdf["gram"].to_numpy()] = pdf["n"].to_numpy()
-    return pd.DataFrame({"lang": [key[0]], "logs": [probabilities(top).tobytes()]})
-
-
-def _perplexities(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for lang, text in zip(b.column("model").to_pylist(), b.column("text").to_pylist()):
-            table = tables.value.get(lang)
-            out.append(None if table is None else float(np.exp(-table[grams(text or "")].mean())))
-        names = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "perplexity"])
-
-
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def _texts(docs: pa.Table, rows: list[int]) -> Iterator[bytes]:
+    text = docs.column("text")
+    return (text[i].as_py().encode() for i in rows)
+
+
+def _tagged(grams: np.ndarray, tag: int, model: int) -> np.ndarray:
+    return grams | (tag << GRAM_BITS) | (model << (GRAM_BITS + 4))
+
+
+def _gather(docs: pa.Table, good: pa.Table, shards: int) -> pa.Table:
+    """By shard, packed: the counts of the block's trusted grams, and with no counts the entries that its texts need."""
+    if not docs.num_rows:
+        return _table([], PACKED)
+    trusted = set(good.column("doc_id").to_pylist())
+    ids, block = docs.column("doc_id").to_pylist(), docs.column("block")[0].as_py()
+    out: list[tuple] = []
+    for model, rows in _by_model(docs).items():
+        g, n = counted(_texts(docs, [i for i in rows if ids[i] in trusted]))
+        keys = _tagged(g, ORDER, model)
+        out += [(block, s, _pack_keys(keys[at]), _pack(n[at])) for s, at in _by_shard(keys, shards)]
+        rest, m = counted(_texts(docs, [i for i in rows if ids[i] not in trusted]))
+        keys = _asked(summed([(g, n), (rest, m)])[0], model)
+        out += [(block, s, _pack_keys(keys[at]), None) for s, at in _by_shard(keys, shards)]
+    return _table(out, PACKED)
+
+
+PACKED = (("block", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
+
+
+def _table(rows: list[tuple], columns) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(columns)
+    return pa.table({name: pa.array(c, t) for (name, t), c in zip(columns, cols)})
+
+
+def _sums(packed: pa.Table) -> pa.Table:
+    """All packed counts of a shard -> one row per gram."""
+    parts: list = []
+    for k, n in zip(packed.column("keys").to_pylist(), packed.column("counts").to_pylist()):
+        parts.append((_unpack_keys(k), _unpack(n)))
+        if len(parts) > 63:
+            parts = [summed(parts)]
+    keys, n = summed(parts)
+    return pa.table({"key": keys, "n": n})
+
+
+def _asked(g: np.ndarray, model: int) -> np.ndarray:
+    """Keys of the entries that the probabilities of distinct grams may need, in order."""
+    out = []
+    for k in range(1, ORDER + 1):
+        u = np.unique(g & ((1 << 8 * k) - 1))
+        out += [_tagged(u, k, model), _tagged(np.unique(u >> 8), CONTEXT + k - 1, model)]
+    return np.sort(np.concatenate(out))
+
+
+def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Requests and entries of a shard -> (block, keys, entries) of those that there are."""
+    known, entry = model.column("key").to_numpy(), model.column("entry").to_numpy()
+    order = np.argsort(known)
+    known, entry = known[order], entry[order]
+    out = []
+    for block, packed in zip(asked.column("block").to_pylist(), asked.column("keys").to_pylist()):
+        keys = _unpack_keys(packed)
+        at = np.searchsorted(known, keys)
+        there = at < len(known)
+        there[there] = known[at[there]] == keys[there]
+        if there.any():
+            out.append((block, _pack_keys(keys[there]), _pack(entry[at[there]])))
+    return _table(out, (("block", pa.int64()), ("keys", pa.binary()), ("entries", pa.binary())))
+
+
+def _look(known: np.ndarray, entry: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    there = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    return there, entry[at] if len(known) else np.zeros(len(keys), np.int64)
+
+
+def log_probabilities(g: np.ndarray, model: int, known: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Of the last byte of each gram, in steps below zero: the entry of its longest suffix that has one, and the weights of the contexts beyond."""
+    out = np.full(len(g), int(np.log(256) * STEPS), np.int64)
+    for k in range(1, ORDER + 1):
+        u = g & ((1 << 8 * k) - 1)
+        seen, p = _look(known, entry, _tagged(u, k, model))
+        ctx, weight = _look(known, entry, _tagged(u >> 8, CONTEXT + k - 1, model))
+        out = np.where(seen, p, out + np.where(ctx, weight, 0))
+    return out
+
+
+def _scores(docs: pa.Table, got: pa.Table) -> pa.Table:
+    pairs = [(_unpack_keys(k), _unpack(e)) for k, e in zip(got.column("keys").to_pylist(), got.column("entries").to_pylist())]
+    known, entry = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    order = np.argsort(known)
+    known, entry = known[order], entry[order]
+    ids, names, out = docs.column("doc_id"), docs.column("model"), []
+    perplexity: list = [None] * docs.num_rows
+    for model, rows in _by_model(docs).items():
+        own = slice(*np.searchsorted(known, [model << (GRAM_BITS + 4), (model + 1) << (GRAM_BITS + 4)]))
+        if own.start == own.stop:
+            continue  # a model without trusted text
+        distinct = counted(_texts(docs, rows))[0]
+        logs = log_probabilities(distinct, model, known[own], entry[own])
+        for i, text in zip(rows, _texts(docs, rows)):
+            total = sum(int(logs[np.searchsorted(distinct, g)].sum()) for g in grams(text))
+            perplexity[i] = float(np.exp(total / STEPS / (len(text) + 1)))
+    return pa.table({"doc_id": ids, "model": names, "perplexity": pa.array(perplexity, pa.float64())})
+
+
+def entries(top: DataFrame) -> DataFrame:
+    """``(key, n)`` of all grams of ORDER -> ``(key, entry)`` of the interpolated model, in steps below zero.
+
+    A lower order counts in how many left contexts an n-gram is found. Entries are the probability of an n-gram's last
+    byte given those before, and of each context the weight of the next lower order.
+    """
+    level = top.select(F.shiftright("key", GRAM_BITS + 4).alias("model"), F.col("key").bitwiseAND((1 << GRAM_BITS) - 1).alias("u"), "n")
+    levels = {ORDER: level}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = cut(levels[k + 1].groupBy("model", F.col("u").bitwiseAND((1 << 8 * k) - 1).alias("u")).agg(F.count("*").alias("n")))
+    out, lower = [], None
+    for k in range(1, ORDER + 1):
+        n = [F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]
+        met = levels[k].groupBy("model").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))  # at most LANGUAGES + 1 rows
+
+        def bounded(i: int, y):
+            d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.expr(f"nullif(n{i}, 0)")
+            return F.greatest(F.lit(0.1), F.least(F.coalesce(d, F.lit(i / 2)), F.lit(0.9 * i))).alias(f"d{i}")
+
+        met = met.withColumn("y", F.coalesce(F.expr("n1 / nullif(n1 + 2D * n2, 0)"), F.lit(0.5))).select("model", *(bounded(i, F.col("y")) for i in (1, 2, 3)))
+        rows = levels[k].join(F.broadcast(met), "model").select("model", "u", "n", F.shiftright("u", 8).alias("ctx"), F.expr("case n when 1 then d1 when 2 then d2 else d3 end").alias("less"))
+        ctx = rows.groupBy("model", "ctx").agg(F.sum("n").alias("total"), F.sum("less").alias("spare"))
+        tag = lambda t, u: F.shiftleft(F.col("model"), GRAM_BITS + 4).bitwiseOR(F.lit(t << GRAM_BITS)).bitwiseOR(F.col(u))
+        step = lambda p: F.round(-F.log(p) * STEPS).cast("long")
+        out.append(ctx.select(tag(CONTEXT + k - 1, "ctx").alias("key"), step(F.expr("spare / total")).alias("entry")))
+        rows = rows.join(ctx.hint("merge"), ["model", "ctx"]).select("model", "u", F.expr("(n - less) / total").alias("own"), F.expr("spare / total").alias("back"))
+        if lower is None:
+            rows = rows.select("model", "u", (F.col("own") + F.col("back") / 256).alias("p"))
+        else:
+            low = lower.select(F.col("model"), F.col("u").alias("suffix"), F.col("p").alias("low"))
+            rows = rows.withColumn("suffix", F.col("u").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(low.hint("merge"), ["model", "suffix"]).select("model", "u", F.expr("own + back * low").alias("p"))
+        rows = cut(rows)
+        out.append(rows.select(tag(k, "u").alias("key"), step(F.col("p")).alias("entry")))
+        lower = rows
+    all_rows = out[0]
+    for x in out[1:]:
+        all_rows = all_rows.unionByName(x)
+    return all_rows
+
+
+def _prime(n: int) -> int:
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id, model, perplexity, kept``.
 
-    Trusted documents have a label ``quality`` 1. The model is the document's language, or ``*`` for null and rare
-    ones, which is trained on the trusted text of all languages. Null and empty texts are scored as the end of text
-    alone, at which a start is padded. Without trusted text perplexities are null; without held-out trusted text of a
-    model all its documents are kept. Repeated rows stay
-    repeated and other columns are ignored. An empty table gives an empty result.
+    Trusted documents have a label ``quality`` 1. The model is the document's language; null languages and those with
+    fewer than LEAST trusted documents share the model ``*``, trained on their trusted texts. Null and empty texts are
+    scored as the end of text alone. Where a model has no trusted text, perplexities are null; without held-out trusted
+    text of a model all its documents are kept. Repeated rows stay repeated and other columns are ignored. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), text)
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     held = share(F.col("doc_id"), 13) < HELD
-    trusted = rows.where(~held).join(good.where(~held).hint("merge"), "doc_id", "left_semi")  # labels grow with the documents
-    counts = cut(trusted.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    starts = counts.where(F.col("gram") < CLASSES).groupBy("lang").agg(F.sum("n").alias("docs")).where(F.col("docs") >= LEAST).where(F.col("lang") != OTHER)
-    own = sorted(r["lang"] for r in starts.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect())
-    shared = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n")
-    each = counts.where(F.col("lang").isin(own)).unionByName(shared) if own else shared
-    made = each.groupBy("lang").applyInPandas(_table, "lang string, logs binary").collect()  # at most LANGUAGES + 1 rows of 4 MB
-    tables = spark.sparkContext.broadcast({r["lang"]: np.frombuffer(r["logs"], np.float32) for r in made})
-    model = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(OTHER)) if own else F.lit(OTHER)
-    scored = cut(rows.select("doc_id", model.alias("model"), "text").mapInArrow(partial(_perplexities, tables=tables), "doc_id long, model string, perplexity double"))
+    trusted = rows.select("doc_id", "lang").where(~held).join(good.where(~held).hint("merge"), "doc_id", "left_semi")  # labels grow with the documents
+    sizes = trusted.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST).where(F.col("lang") != OTHER)
+    own = [OTHER, *sorted(r["lang"] for r in sizes.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect())]
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, -(-total // block))
+    shards, ways = _prime(min(SHARDS, blocks)), -(-blocks // BLOCKS)
+
+    at = lambda x: F.pmod(x, F.lit(blocks)).cast("long").alias("block")
+    model = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(own) for x in (name, i))), F.col("lang")), F.lit(0)).cast("long").alias("model")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    texts = rows.select("doc_id", model, "text", at(spread)).groupBy("block")
+    labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
+    packed = cut(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, keys binary, counts binary"))
+    release(spark)  # the texts' blocks are made again for the scores: kept meanwhile, they would double the disk in use
+    known = entries(cut(packed.where("counts is not null").groupBy("shard").applyInArrow(_sums, "key long, n long")))
+    known = known.select("key", "entry", F.pmod("key", F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {ways - 1}L)")).alias("way"))
+    asked = packed.where("counts is null").withColumn("way", F.pmod("block", F.lit(ways)))
+    answers = cut(asked.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(_answers, "block long, keys binary, entries binary"))
+    release(spark)
+    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, model long, perplexity double"))
     limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
-    return scored.join(F.broadcast(limits), "model", "left").select("doc_id", "model", "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))
+    name = F.element_at(F.array(*map(F.lit, own)), F.col("model").cast("int") + 1).alias("model")
+    return scored.join(F.broadcast(limits), "model", "left").select("doc_id", name, "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))

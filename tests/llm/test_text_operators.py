@@ -108,13 +108,63 @@ def test_communication_matrix_has_hypergeometric_rows():
     assert sharding.hypergeometric(np.random.default_rng(2), 10**12, 10**12, 10**6) in range(495_000, 505_000)
 
 
-def test_ngram_probabilities_sum_to_one_and_junk_is_dropped(spark):
+def plain_kneser_ney(texts: list[bytes]):
+    """P(byte | the bytes before) of the interpolated modified model, straight from its definition."""
+    top = Counter(t[i : i + ngrams.ORDER] for t in (ngrams.START + t + ngrams.END for t in texts) for i in range(len(t) - ngrams.ORDER + 1))
+    levels = {ngrams.ORDER: top}
+    for k in range(ngrams.ORDER - 1, 0, -1):
+        levels[k] = Counter(u[1:] for u in levels[k + 1])
+    less, total, spare = {}, {}, {}
+    for k, level in levels.items():
+        n = Counter(level.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        d = [max(0.1, min(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2, 0.9 * i)) for i in (1, 2, 3)]
+        less[k] = lambda c, d=d: d[min(c, 3) - 1] if c else 0
+        total[k], spare[k] = Counter(), Counter()
+        for u, c in level.items():
+            total[k][u[:-1]] += c
+            spare[k][u[:-1]] += less[k](c)
+
+    def p(u: bytes) -> float:
+        if not u:
+            return 1 / 256
+        k, c = len(u), levels[len(u)][u]
+        return (c - less[k](c)) / total[k][u[:-1]] + spare[k][u[:-1]] / total[k][u[:-1]] * p(u[1:]) if total[k][u[:-1]] else p(u[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("block", [ngrams.BLOCK, 700])
+def test_perplexities_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngrams, "HELD", 0.0)
+    monkeypatch.setattr(ngrams, "BLOCKS", 3)
+    r = random.Random(9)
+    data = [(i, edge.words(r, 12) + " é漢"[: i % 4], ("en", "de")[i % 5 > 3], "s", 1) for i in range(200)] + [(900, "", "en", "s", 0), (901, "q#" * 900, "xx", "s", 1), (902, None, None, "s", 1)]
+    good = set(range(0, 200, 2)) | {902}
+    d = spark.createDataFrame(data, edge.COLUMNS)
+    got = {x["doc_id"]: x for x in ngrams.quality(d, spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int"), block=block).collect()}
+    name = lambda x: x[2] if x[2] == "en" else "*"
+    models = {m: plain_kneser_ney([(x[1] or "").encode() for x in data if x[0] in good and name(x) == m]) for m in ("en", "*")}
+    assert len(got) == len(data)
+    for x in data:
+        t = ngrams.START + (x[1] or "").encode() + ngrams.END
+        logs = [np.log(models[name(x)](t[i : i + ngrams.ORDER])) for i in range(len(t) - ngrams.ORDER + 1)]
+        assert got[x[0]]["model"] == name(x) and abs(np.log(got[x[0]]["perplexity"]) + np.mean(logs)) < (ngrams.ORDER + 1) / ngrams.STEPS
+    p = models["en"]
+    assert all(abs(sum(p(c + bytes([b])) for b in range(256)) - 1) < 1e-9 for c in (ngrams.START, b"abc ", b"zzzz", b"a"))
+
+
+def test_grams_are_counted_alike_in_chunks(monkeypatch):
+    r = random.Random(4)
+    texts = [edge.words(r, n).encode() for n in (0, 1, 30, 900)]
+    whole = ngrams.counted(iter(texts))
+    monkeypatch.setattr(ngrams, "CHUNK", 7)
+    assert all((a == b).all() for a, b in zip(whole, ngrams.counted(iter(texts)))) and whole[1].sum() == sum(len(t) + 1 for t in texts)
+    assert (ngrams._unpack_keys(ngrams._pack_keys(whole[0])) == whole[0]).all()
+
+
+def test_junk_is_dropped(spark):
     r = random.Random(3)
-    top = np.zeros(ngrams.CLASSES**ngrams.ORDER, np.int64)
-    for _ in range(200):
-        np.add.at(top, ngrams.grams(edge.words(r, 20)), 1)
-    p = np.exp(ngrams.probabilities(top)).reshape((ngrams.CLASSES,) * ngrams.ORDER).sum(axis=-1)
-    assert np.allclose(p, 1, atol=1e-4)
     good = [(i, edge.words(r, 50), "en", "s", 1) for i in range(200)]
     junk = [(1000 + i, "#$%& !!! |<> " * 20, "en", "s", 1) for i in range(20)]
     d = spark.createDataFrame(good + junk, edge.COLUMNS)
