@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, release, share, small_batches
+from emberline.llm.common import cut, release, share, small_batches, stored
 
 ORDER = 5
 #: Bytes that UTF-8 doesn't use: before a text and at its end.
@@ -293,12 +293,14 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     texts = rows.select("doc_id", model, "text", at(spread)).groupBy("block")
     labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
-    packed = cut(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, keys binary, counts binary"))
+    packed, drop = stored(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, keys binary, counts binary"))
     release(spark)  # the texts' blocks are made again for the scores: kept meanwhile, they would double the disk in use
     known = entries(cut(packed.where("counts is not null").groupBy("shard").applyInArrow(_sums, "key long, n long")))
     known = known.select("key", "entry", F.pmod("key", F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {ways - 1}L)")).alias("way"))
     asked = packed.where("counts is null").withColumn("way", F.pmod("block", F.lit(ways)))
     answers = cut(asked.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(_answers, "block long, keys binary, entries binary"))
+    drop()
+    del packed, known, asked  # the model's tables go with what refers to them, before the texts move again
     release(spark)
     scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, model long, perplexity double"))
     limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
