@@ -6,7 +6,8 @@ joins is hot.
 
 Texts move into blocks, once to count and once to score. A block counts its trusted n-grams, and asks for each distinct n-gram of its texts once;
 shards join these requests with the model's entries, and the answers return to the block, which adds up the log
-probabilities of its documents. Keys travel as sorted, packed lists. Perplexities are compared with quantiles of the
+probabilities of its documents. Requests travel as sorted, packed keys, answers as entries in the requests' order: the
+block makes the same keys again. Perplexities are compared with quantiles of the
 same language's trusted documents that the models weren't trained on.
 """
 
@@ -38,7 +39,8 @@ QUANTILE = 0.99
 BLOCK, SHARDS, BLOCKS = 16 << 20, 1009, 1024
 #: Grams of a text that are held at once.
 CHUNK = 1 << 20
-#: A key has the gram in its low bits, then a tag (its order; CONTEXT more for the weight of what follows), then the model.
+#: A key has the gram in its low bits, then a tag (its length; CONTEXT more for the weight of what follows), then the model.
+#: A request is without CONTEXT and asks for both.
 GRAM_BITS, CONTEXT = 8 * ORDER, 8
 #: Entries are whole numbers of so many to a unit of the natural logarithm.
 STEPS = 512
@@ -134,14 +136,14 @@ def _gather(docs: pa.Table, good: pa.Table, shards: int) -> pa.Table:
     for model, rows in _by_model(docs).items():
         g, n = counted(_texts(docs, [i for i in rows if ids[i] in trusted]))
         keys = _tagged(g, ORDER, model)
-        out += [(block, s, _pack_keys(keys[at]), _pack(n[at])) for s, at in _by_shard(keys, shards)]
+        out += [(block, s, model, _pack_keys(keys[at]), _pack(n[at])) for s, at in _by_shard(keys, shards)]
         rest, m = counted(_texts(docs, [i for i in rows if ids[i] not in trusted]))
         keys = _asked(summed([(g, n), (rest, m)])[0], model)
-        out += [(block, s, _pack_keys(keys[at]), None) for s, at in _by_shard(keys, shards)]
+        out += [(block, s, model, _pack_keys(keys[at]), None) for s, at in _by_shard(keys, shards)]
     return _table(out, PACKED)
 
 
-PACKED = (("block", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
+PACKED = (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
 
 
 def _table(rows: list[tuple], columns) -> pa.Table:
@@ -161,60 +163,64 @@ def _sums(packed: pa.Table) -> pa.Table:
 
 
 def _asked(g: np.ndarray, model: int) -> np.ndarray:
-    """Keys of the entries that the probabilities of distinct grams may need, in order."""
+    """Keys of what the probabilities of distinct grams may need, in order: their suffixes, and the contexts of these."""
     out = []
-    for k in range(1, ORDER + 1):
-        u = np.unique(g & ((1 << 8 * k) - 1))
-        out += [_tagged(u, k, model), _tagged(np.unique(u >> 8), CONTEXT + k - 1, model)]
-    return np.sort(np.concatenate(out))
+    for k in range(ORDER + 1):
+        ends = g & ((1 << 8 * k) - 1)
+        out.append(_tagged(np.unique(ends if k == ORDER else np.r_[ends, (g >> 8) & ((1 << 8 * k) - 1)]), k, model))
+    return np.concatenate(out)
 
 
 def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """Requests and entries of a shard -> (block, keys, entries) of those that there are."""
+    """Requests and entries of a shard -> each request's entries, one more than they are and 0 where there is none, then likewise its weights."""
     known, entry = model.column("key").to_numpy(), model.column("entry").to_numpy()
     order = np.argsort(known)
-    known, entry = known[order], entry[order]
+    known, entry = known[order], entry[order] + 1
     out = []
-    for block, packed in zip(asked.column("block").to_pylist(), asked.column("keys").to_pylist()):
+    for block, shard, own, packed in zip(*(asked.column(x).to_pylist() for x in ("block", "shard", "model", "keys"))):
         keys = _unpack_keys(packed)
-        at = np.searchsorted(known, keys)
-        there = at < len(known)
-        there[there] = known[at[there]] == keys[there]
-        if there.any():
-            out.append((block, _pack_keys(keys[there]), _pack(entry[at[there]])))
-    return _table(out, (("block", pa.int64()), ("keys", pa.binary()), ("entries", pa.binary())))
+        got = np.r_[_look(known, entry, keys), _look(known, entry, keys | CONTEXT << GRAM_BITS)]
+        if got.any():
+            out.append((block, shard, own, _pack(got)))
+    return _table(out, (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("entries", pa.binary())))
+
 
+def _look(known: np.ndarray, entry: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, entry[at], 0)
 
-def _look(known: np.ndarray, entry: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-    there = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-    return there, entry[at] if len(known) else np.zeros(len(keys), np.int64)
 
+def log_probabilities(g: np.ndarray, model: int, keys: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the last byte of each gram, in steps below zero: the entry of its longest suffix that has one, and the weights of the contexts beyond.
 
-def log_probabilities(g: np.ndarray, model: int, known: np.ndarray, entry: np.ndarray) -> np.ndarray:
-    """Of the last byte of each gram, in steps below zero: the entry of its longest suffix that has one, and the weights of the contexts beyond."""
+    ``keys`` are those asked for, ``entry`` and ``weight`` their answers.
+    """
     out = np.full(len(g), int(np.log(256) * STEPS), np.int64)
     for k in range(1, ORDER + 1):
         u = g & ((1 << 8 * k) - 1)
-        seen, p = _look(known, entry, _tagged(u, k, model))
-        ctx, weight = _look(known, entry, _tagged(u >> 8, CONTEXT + k - 1, model))
-        out = np.where(seen, p, out + np.where(ctx, weight, 0))
+        own = entry[np.searchsorted(keys, _tagged(u, k, model))]
+        back = weight[np.searchsorted(keys, _tagged(u >> 8, k - 1, model))]
+        out = np.where(own > 0, own - 1, out + np.maximum(back - 1, 0))
     return out
 
 
-def _scores(docs: pa.Table, got: pa.Table) -> pa.Table:
-    pairs = [(_unpack_keys(k), _unpack(e)) for k, e in zip(got.column("keys").to_pylist(), got.column("entries").to_pylist())]
-    known, entry = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    order = np.argsort(known)
-    known, entry = known[order], entry[order]
-    ids, names, out = docs.column("doc_id"), docs.column("model"), []
+def _scores(docs: pa.Table, got: pa.Table, shards: int) -> pa.Table:
+    answers = {(m, s): e for m, s, e in zip(*(got.column(x).to_pylist() for x in ("model", "shard", "entries")))}
+    with_model = {m for m, _ in answers}
+    ids, names = docs.column("doc_id"), docs.column("model")
     perplexity: list = [None] * docs.num_rows
     for model, rows in _by_model(docs).items():
-        own = slice(*np.searchsorted(known, [model << (GRAM_BITS + 4), (model + 1) << (GRAM_BITS + 4)]))
-        if own.start == own.stop:
+        if model not in with_model:
             continue  # a model without trusted text
         distinct = counted(_texts(docs, rows))[0]
-        logs = log_probabilities(distinct, model, known[own], entry[own])
+        keys = _asked(distinct, model)
+        entry, weight = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for s, at in _by_shard(keys, shards):
+            if (model, s) in answers:
+                entry[at], weight[at] = np.split(_unpack(answers[model, s]), 2)
+        logs = log_probabilities(distinct, model, keys, entry, weight)
         for i, text in zip(rows, _texts(docs, rows)):
             total = sum(int(logs[np.searchsorted(distinct, g)].sum()) for g in grams(text))
             perplexity[i] = float(np.exp(total / STEPS / (len(text) + 1)))
@@ -293,16 +299,16 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     texts = rows.select("doc_id", model, "text", at(spread)).groupBy("block")
     labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
-    packed, drop = stored(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, keys binary, counts binary"))
+    packed, drop = stored(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, model long, keys binary, counts binary"))
     release(spark)  # the texts' blocks are made again for the scores: kept meanwhile, they would double the disk in use
     known = entries(cut(packed.where("counts is not null").groupBy("shard").applyInArrow(_sums, "key long, n long")))
-    known = known.select("key", "entry", F.pmod("key", F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {ways - 1}L)")).alias("way"))
+    known = known.select("key", "entry", F.pmod(F.col("key").bitwiseAND(~(CONTEXT << GRAM_BITS)), F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {ways - 1}L)")).alias("way"))
     asked = packed.where("counts is null").withColumn("way", F.pmod("block", F.lit(ways)))
-    answers = cut(asked.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(_answers, "block long, keys binary, entries binary"))
+    answers = cut(asked.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(_answers, "block long, shard long, model long, entries binary"))
     drop()
     del packed, known, asked  # the model's tables go with what refers to them, before the texts move again
     release(spark)
-    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(_scores, "doc_id long, model long, perplexity double"))
+    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _scores(docs, got, shards), "doc_id long, model long, perplexity double"))
     limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
     name = F.element_at(F.array(*map(F.lit, own)), F.col("model").cast("int") + 1).alias("model")
     return scored.join(F.broadcast(limits), "model", "left").select("doc_id", name, "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))
