@@ -4,10 +4,10 @@ Nothing has a fixed size: counts, contexts and probabilities are tables sharded
 text. A context has at most 256 continuations and an n-gram at most 256 left extensions, so no key of the model's
 joins is hot.
 
-Texts move into blocks, once to count and once to score. A block counts its trusted n-grams, and asks for each distinct n-gram of its texts once;
-shards join these requests with the model's entries, and the answers return to the block, which adds up the log
-probabilities of its documents. Requests travel as sorted, packed keys, answers as entries in the requests' order: the
-block makes the same keys again. Perplexities are compared with quantiles of the
+Texts move into blocks, compressed, once to count and once to score. A block counts its trusted n-grams, and asks for
+each distinct n-gram of its texts once; shards join these requests with the model's entries, and the answers return to
+the block, which adds up the log probabilities of its documents. Requests travel as sorted, packed keys, answers as
+entries in the requests' order: the block makes the same keys again. Perplexities are compared with quantiles of the
 same language's trusted documents that the models weren't trained on.
 """
 
@@ -117,9 +117,16 @@ def _by_model(docs: pa.Table) -> dict[int, list[int]]:
     return out
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        text = pa.array((press.compress(x.as_py().encode()) for x in b.column("text")), pa.binary())
+        yield b.set_column(b.schema.get_field_index("text"), "text", text)
+
+
 def _texts(docs: pa.Table, rows: list[int]) -> Iterator[bytes]:
-    text = docs.column("text")
-    return (text[i].as_py().encode() for i in rows)
+    text, press = docs.column("text"), zstandard.ZstdDecompressor()
+    return (press.decompress(text[i].as_py()) for i in rows)
 
 
 def _tagged(grams: np.ndarray, tag: int, model: int) -> np.ndarray:
@@ -297,7 +304,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     at = lambda x: F.pmod(x, F.lit(blocks)).cast("long").alias("block")
     model = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(own) for x in (name, i))), F.col("lang")), F.lit(0)).cast("long").alias("model")
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    texts = rows.select("doc_id", model, "text", at(spread)).groupBy("block")
+    texts = rows.select("doc_id", model, "text", at(spread)).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
     labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
     packed, drop = stored(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, model long, keys binary, counts binary"))
     release(spark)  # the texts' blocks are made again for the scores: kept meanwhile, they would double the disk in use
