@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, small_batches
 
-GROUPS = 64
+#: Numbers of groups that are tried for the large lengths.
+GROUPS = (4, 8, 16, 32, 64)
 #: Lengths over this share of the capacity are large.
 LARGE = 1 / 3
 
@@ -199,7 +200,7 @@ class Plan:
             count -= m
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> Plan:
+def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS[-1], large: float = LARGE) -> Plan:
     p = Plan(capacity)
     sizes = sorted(((x, c) for x, c in histogram.items() if c), reverse=True)
     left = dict(sizes)
@@ -237,6 +238,19 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
     return p
 
 
+def least_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """The plan of fewest sequences among those of GROUPS, of fewest groups on a tie. None goes below the tokens over the capacity."""
+    least = -(-sum(x * c for x, c in histogram.items()) // capacity)
+    best = None
+    for groups in GROUPS:
+        p = plan(histogram, capacity, groups)
+        if best is None or p.sequences < best.sequences:
+            best = p
+        if best.sequences <= least:
+            break
+    return best
+
+
 def _placed(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Adds sequence_id and offset; rows: the plan's, sorted by length and rank."""
     key = rows[:, 0] << 44 | rows[:, 1]
@@ -263,7 +277,7 @@ def pack(docs: DataFrame, capacity: int = 2048, paths: tuple[str, str | None] |
     counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = counts.select("part", "length", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placements = np.array(sorted(plan(histogram, capacity).rows), np.int64).reshape(-1, 5)
+    placements = np.array(sorted(least_plan(histogram, capacity).rows), np.int64).reshape(-1, 5)
     ranked = rows.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank")
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"

@@ -414,3 +414,13 @@ def test_fast_and_exact_encoders_agree():
     for _ in range(400):
         t = "".join(chr(r.choice((r.randint(9, 126), r.randint(160, 0x24F), r.randint(0x2010, 0x2030), 32, r.randint(0x300, 0xD7FF)) if r.random() < 0.3 else (r.randint(32, 126), 10, 32, r.randint(0xC0, 0xFF)))) for _ in range(r.randint(0, 80)))
         assert fast(t) == exact(t), t
+
+
+def test_fewest_sequences_of_all_group_counts_are_taken():
+    r = random.Random(6)
+    for most in (300, 900, 2048):
+        sizes = dict(Counter(r.randint(1, most) for _ in range(600)))
+        p = packing.least_plan(sizes, 2048)
+        assert p.sequences == min(packing.plan(sizes, 2048, g).sequences for g in packing.GROUPS)
+        assert p.sequences * 2048 >= sum(x * n for x, n in sizes.items()) and {x: int(p.taken[x]) for x in sizes} == sizes
+    assert packing.least_plan({}, 2048).sequences == 0 and packing.least_plan({2048: 3}, 2048).sequences == 3
