@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, small_batches
@@ -54,7 +54,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t or b"", words, seed) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -168,6 +168,11 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_fingerprints, words=words, seed=seed), "doc_id long, fp long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; a null counts, as its place does."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
 def code_links(codes: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
     """Edges ``(u, v)`` that connect all distinct codes ``fp`` at up to ``distance`` differing bits, and no others.
 
@@ -187,6 +192,21 @@ def code_links(codes: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame
     return first.where("split < 0").unionByName(second).select("u", "v")
 
 
+def representatives(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    """The row that stands for each component of near-duplicates: ``doc_id, row_hash`` of it, and ``times`` it is there.
+
+    It is the row of the least doc_id, null last, and of the least :func:`row_hash` among rows of that doc_id.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("row_hash"))
+    fps = cut(rows.mapInArrow(partial(_fingerprints, words=words, seed=seed), "doc_id long, fp long, row_hash long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "times")).alias("least")
+    nodes = fps.groupBy("fp", "doc_id", "row_hash").agg(F.count("*").alias("times")).groupBy("fp").agg(least)
+    roots = connected_components(code_links(nodes.select("fp"), distance))
+    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    return linked.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_hash", "least.times")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """One row per document: ``doc_id, fingerprint (16 hex digits), component_id``.
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 import corpus_pipeline
@@ -34,3 +36,22 @@ def test_stages_take_awkward_and_empty_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER).cache()
             docs.count()
+
+
+def test_repeated_rows_are_kept_once(spark):
+    texts = [edge.words(random.Random(i), 60) for i in range(100, 104)]
+    one = (50, texts[0], "en", "s1", 1)
+    rows = [
+        *([one] * 3),  # ingested three times
+        (50, texts[1], "en", "s1", 1),  # another text of that doc_id
+        *([(None, texts[2], "en", "s1", 1)] * 2),  # a component of null ids alone
+        (None, texts[2], None, "en", 1),
+        (None, texts[2], "en", None, 1),
+        (None, texts[3], "en", "s1", 1),  # linked to a document with an id
+        (60, texts[3], "en", "s1", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    single = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).cache()
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in single.collect())
+    assert got == sorted([(50, texts[0]), (50, texts[1]), (0, texts[2]), (60, texts[3])])
+    assert sorted(r["text"] for r in corpus_pipeline.cut_repeats(spark, single, FOLDER).collect()) == sorted(texts)
