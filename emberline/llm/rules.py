@@ -1,8 +1,9 @@
 """Quality rules: an isolation forest over rule statistics of whole texts, calibrated on labelled rows.
 
 The forest is grown on a bounded sample of documents (``SAMPLE``, dealt by a hash of doc_id); a document's anomaly
-score comes from its mean path length. The threshold is the one that best separates labelled good and bad rows of the
-sample among those that lose at most ``LOST`` of the good ones. Statistics and verdicts cover every document.
+score comes from its mean path length. The threshold is the one that best separates all labelled good and bad rows
+among those that lose at most ``LOST`` of the good ones; it lies between two of ``BINS`` equal bins of their scores.
+Statistics and verdicts cover every document.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.forest import Forest
-from emberline.llm.common import share, small_batches
+from emberline.llm.common import cut, share, small_batches
 
 TREES, DRAWN = 200, 128
-#: Documents that the forest and its threshold are fitted on, about.
+#: Documents that the forest is grown on, about.
 SAMPLE = 12_000
+#: Bins of scores in which labelled rows are counted: a bound on what comes to the driver, not on the rows.
+BINS = 1 << 16
 #: Share of good labelled rows that the threshold may cost.
 LOST = 0.01
 WINDOW = 5
@@ -32,6 +35,7 @@ SPACES = " \t\n\v\f\r"
 #: Shares that the forest sees.
 SHARES = 13
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 PUNCT = re.compile(r"[^\w\s]")
 DIGIT = re.compile(r"[0-9]")
@@ -74,51 +78,61 @@ def base_failed(n_words, n_repeat):
     return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
-    """The score above which rows are dropped; infinity without labelled rows of both kinds."""
-    if good.all() or not good.any():
+def threshold(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, lost: float = LOST) -> float:
+    """The score above which rows are dropped; infinity without labelled rows of both kinds.
+
+    Of each bin, in order: the least and the largest score, and its numbers of good and bad rows.
+    """
+    if not good.sum() or not bad.sum():
         return math.inf
-    cuts = np.unique(scores)
-    order_good, order_bad = np.sort(scores[good]), np.sort(scores[~good])
-    cost = 1 - np.searchsorted(order_good, cuts, side="right") / len(order_good)
-    gain = 1 - np.searchsorted(order_bad, cuts, side="right") / len(order_bad)
+    cost, gain = 1 - np.cumsum(good) / good.sum(), 1 - np.cumsum(bad) / bad.sum()
     gain[cost > lost] = -1
     i = int(np.argmax(gain - cost))
-    above = cuts[i + 1] if i + 1 < len(cuts) else cuts[i]
-    return float(cuts[i] + above) / 2
+    return float(high[i] + (low[i + 1] if i + 1 < len(low) else high[i])) / 2
 
 
-def _measured(batches: Iterator[pa.RecordBatch], model: tuple[Forest, float] | None) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [statistics(t or "") for t in b.column(1).to_pylist()]
         counts = np.array([c for c, _ in got], np.int64).reshape(-1, len(COUNTS))
         shares = np.array([s for _, s in got], float).reshape(len(got), SHARES)
-        cols = [b.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS)))]
-        if model is None:
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(shares), pa.list_(pa.float64()))], ["doc_id", *COUNTS, "shares"])
-            continue
-        failed = base_failed(counts[:, 0], counts[:, 4])
-        score = model[0].score(shares) if len(got) else np.empty(0)
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(failed), pa.array(~failed & (score <= model[1])), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(list(shares), pa.list_(pa.float64()))], ["doc_id", *COUNTS, "shares"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], forest: Forest, limit: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        shares = b.column("shares").flatten().to_numpy().reshape(b.num_rows, SHARES)
+        failed = base_failed(b.column("n_words").to_numpy(), b.column("n_repeat_words").to_numpy())
+        score = forest.score(shares) if b.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *COUNTS)), pa.array(failed), pa.array(~failed & (score <= limit)), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lost: float = LOST) -> tuple[Forest, float]:
-    """Forest and threshold from about ``sample`` documents with a word, and the labels (``quality`` 0 or 1) of those."""
+def measure(docs: DataFrame) -> DataFrame:
+    """Rows ``doc_id``, base counts and ``shares`` of all documents, kept in the shared folder: texts are read once."""
     small_batches(docs.sparkSession)
-    part = min(1.0, sample / max(1, docs.count()))
-    chosen = share(F.col("doc_id"), 11) < part
-    rows = _texts(docs.where(chosen)).mapInArrow(partial(_measured, model=None), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", shares array<double>")
-    known = labels.where(chosen).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = rows.join(known, "doc_id", "left").orderBy("doc_id", *COUNTS).select("n_words", "n_repeat_words", "shares", "quality").collect()
+    return cut(_texts(docs).mapInArrow(_measured, f"{MEASURES}, shares array<double>"))
+
+
+def score(rows: DataFrame, forest: Forest, limit: float) -> DataFrame:
+    return rows.mapInArrow(partial(_scored, forest=forest, limit=limit), f"{MEASURES}, base_failed boolean, kept boolean, anomaly double")
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, lost: float = LOST) -> tuple[Forest, float]:
+    """Forest from about ``sample`` of the measured rows with a word, and the threshold from all with a label (``quality`` 0 or 1)."""
+    part = min(1.0, sample / max(1, rows.count()))
+    got = rows.where(share(F.col("doc_id"), 11) < part).orderBy("doc_id", *COUNTS).select("n_words", "n_repeat_words", "shares").collect()
     x = np.array([r["shares"] for r in got], float).reshape(len(got), SHARES)
     use = np.array([not base_failed(r["n_words"], r["n_repeat_words"]) for r in got], bool)
-    known = np.array([r["quality"] is not None for r in got], bool) & use
     forest = Forest(x[use], TREES, DRAWN, seed=3)
-    return forest, threshold(forest.score(x[known]) if known.any() else np.empty(0), np.array([r["quality"] == 1 for r in got], bool)[known], lost)
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    judged = score(rows.join(known.select("doc_id"), "doc_id", "left_semi"), forest, math.inf).where(~F.col("base_failed")).join(known, "doc_id")
+    good = F.count(F.when(F.col("quality") == 1, 1))
+    bins = judged.groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.min("anomaly"), F.max("anomaly"), good, F.count("*") - good).orderBy("bin").collect()
+    return forest, threshold(*np.array([r[1:] for r in bins], float).reshape(len(bins), 4).T, lost)
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -128,6 +142,5 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     the forest. Of several labels of a doc_id the best counts; a null doc_id has none. Repeated rows stay repeated and
     other columns are ignored. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    model = fit(docs, labels, sample)
-    return _texts(docs).mapInArrow(partial(_measured, model=model), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double")
+    rows = measure(docs)
+    return score(rows, *fit(rows, labels, sample))

@@ -308,6 +308,17 @@ def test_forest_drops_junk_and_keeps_good(spark):
     assert np.mean([got[i]["kept"] for i in range(800) if i % 8]) > 0.97 and np.mean([got[i]["kept"] for i in range(0, 800, 8)]) < 0.3
 
 
+def test_threshold_counts_labels_outside_the_forests_sample(spark):
+    r = random.Random(8)
+    data = [(i, edge.words(r, r.randint(20, 90)) if i % 8 else " ".join(x + r.choice(("%%%", "!!", " |", "###")) for x in edge.words(r, r.randint(20, 90)).split()), "en", "s", 1) for i in range(800)]
+    d = spark.createDataFrame(data, edge.COLUMNS)
+    inside = {x[0] for x in d.where(rules.share(F.col("doc_id"), 11) < 0.5).select("doc_id").collect()}
+    marks = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(800) if i not in inside], "doc_id long, quality int, toxic int")
+    got = rules.judge(d, marks, sample=400).collect()
+    assert 200 < len(inside) < 600 and np.mean([x["kept"] for x in got if x["doc_id"] % 8 == 0]) < 0.1
+    assert np.mean([x["kept"] for x in got if x["doc_id"] % 8]) > 0.9
+
+
 def slow_fingerprint(text: str) -> int:
     w = text.encode().translate(simhash.LOWER).split()
     if not w:
