@@ -1,19 +1,21 @@
 """I-Match fingerprints (DataFrame operations only).
 
 Of a text's terms those within a band of inverse document frequency are kept, distinct and sorted. Each of several
-random subsets of the lexicon gives a hash of the kept terms that are in it. Document frequencies are counted by term
-bucket: a bucket has at most the mean number of distinct terms over ``BUCKETS`` of the documents by chance, whatever
-their number, which is below the band. So the lexicon is a table of fixed size, and a literal.
+random subsets of the lexicon gives a hash of the kept terms that are in it. Document frequencies are counted by the
+64-bit hash of a term. At most the mean number of distinct terms of a document over the band's lower end can be kept,
+whatever the number of documents. So the lexicon is a bounded table, and a literal.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, text_or_empty
 
-BUCKETS = 1 << 16
 #: Share of the documents that hold a kept term: the band of inverse document frequency is -ln of it.
 BAND = (0.01, 0.3)
 #: (number of subsets, each of one out of so many lexicon parts); the first level deals out the whole lexicon.
@@ -29,17 +31,32 @@ def hashes(text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """``(bucket, n)``: documents that hold a term of the bucket."""
-    buckets = F.array_distinct(F.transform(hashes(text_or_empty()), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    return docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """``(term, n)``: documents that hold the term, by its hash."""
+    return docs.select(F.explode(F.array_distinct(hashes(text_or_empty()))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+class Lexicon:
+    """A set of hashes as an array literal: ``slots`` places for each of a power of two of low bits, the first of them filled."""
+
+    def __init__(self, terms: np.ndarray):
+        self.low = (1 << max(1, 2 * len(terms)).bit_length()) - 1
+        at = terms & self.low
+        terms, at = terms[np.argsort(at, kind="stable")], np.sort(at)
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        self.slots = int(nth.max(initial=0)) + 1
+        table = np.repeat(np.arange(self.low + 1) ^ 1, self.slots).reshape(-1, self.slots)  # free: a hash of other low bits
+        table[at, nth] = terms
+        self.table = F.split(F.lit(",".join(map(str, table.ravel().tolist()))), ",").cast("array<bigint>")
+
+    def holds(self, h: Column) -> Column:
+        first = h.bitwiseAND(F.lit(self.low)) * self.slots
+        return reduce(Column.__or__, (F.get(self.table, (first + i).cast("int")) == h for i in range(self.slots)))
 
 
-def lexicon(docs: DataFrame, n_docs: int, band: tuple[float, float] = BAND) -> bytes:
-    """One byte per bucket: 1 if its terms are kept. At most BUCKETS rows come to the driver."""
-    kept = bytearray(BUCKETS)
-    for r in document_frequencies(docs).where((F.col("n") >= band[0] * n_docs) & (F.col("n") <= band[1] * n_docs)).select("bucket").collect():
-        kept[r[0]] = 1
-    return bytes(kept)
+def lexicon(docs: DataFrame, n_docs: int, band: tuple[float, float] = BAND) -> Lexicon:
+    """The terms within the band. At most a document's mean number of distinct terms over ``band[0]`` come to the driver."""
+    kept = document_frequencies(docs).where((F.col("n") >= band[0] * n_docs) & (F.col("n") <= band[1] * n_docs)).select("term")
+    return Lexicon(np.sort(np.array([r[0] for r in kept.collect()], np.int64)))
 
 
 def _subset(terms: Column) -> Column:
@@ -51,11 +68,10 @@ def _within(terms: Column, shift: int, parts: int, which: int) -> Column:
     return F.filter(terms, lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(parts - 1)) == which)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, kept: bytes) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str, kept: Lexicon) -> DataFrame:
     """Adds array<long> ``out``: the subsets' hashes, then the hash of all kept terms (of all terms if none is kept)."""
-    lit = F.lit(kept)
     df = df.withColumn("_all", hashes(F.col(text)))
-    df = df.withColumn("_kept", F.sort_array(F.array_distinct(F.filter("_all", lambda h: F.substring(lit, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")))))
+    df = df.withColumn("_kept", F.sort_array(F.array_distinct(F.filter("_all", kept.holds))))
     # level by level: first into fewer parts, then each part into its subsets
     cols, df = [], df.withColumn("_whole", F.xxhash64(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.sort_array(F.array_distinct("_all")))))
     for level, (subsets, parts) in enumerate(LEVELS):

@@ -232,6 +232,19 @@ def test_fingerprints_of_copies_and_edits(docs, rows):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_lexicon_has_the_terms_of_the_band_and_no_others(spark):
+    r = random.Random(9)
+    common = [edge.words(r, 1) + str(i) for i in range(300)]
+    texts = [" ".join(w for i, w in enumerate(common) if r.random() < (i + 1) / 600) + "".join(f" rare{j}x{k}" for k in range(500)) for j in range(200)]
+    df = Counter(w for t in texts for w in set(t.lower().split()))
+    band = {w for w, n in df.items() if 2 <= n <= 60}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = imatch.lexicon(d, len(texts))
+    words = spark.createDataFrame([(j, w) for j, w in enumerate(df)], "doc_id long, text string")
+    rows = imatch.with_fingerprint(words, "text", "fp", kept).select("text", F.exists(F.slice("fp", 1, 32), lambda x: x != 0).alias("kept")).collect()
+    assert len(rows) > 100_000 and 50 < len(band) and {x["text"] for x in rows if x["kept"]} == band
+
+
 def test_single_document_is_its_own_next(spark):
     r = imatch.fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and r["near_next"] == 1.0
