@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions.hashing import draw
 
+#: Rows that eps is estimated on: the k-th neighbour is nearer in a larger sample.
+SAMPLE = 5000
+
 
 def kth_distances(x: np.ndarray, k: int) -> np.ndarray:
     """Distance of each row to its k-th nearest one, itself included; rows are a bounded sample."""
@@ -28,7 +31,7 @@ def kth_distances(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def estimate_eps(df: DataFrame, key: str, columns: list[str], k: int, percentile: float, sample: int = 1000, seed: int = 42) -> float:
+def estimate_eps(df: DataFrame, key: str, columns: list[str], k: int, percentile: float, sample: int = SAMPLE, seed: int = 42) -> float:
     """Percentile of the k-th neighbour's distance on a sample of at most ``sample`` rows, which comes to the driver."""
     rows = df.orderBy(draw(f"eps{seed}", F.col(key)), key).limit(sample).select(*columns).collect()
     return round(float(np.percentile(kth_distances(np.array(rows, float), k), percentile * 100)), 6) if rows else 0.0

@@ -110,6 +110,13 @@ def test_kth_distance_counts_the_row_itself():
     assert density.kth_distances(x, 2).tolist() == [1.0, 1.0, 2.0]
 
 
+def test_eps_is_estimated_on_five_thousand_rows(spark):
+    rows = random_rows(5000, seed=3)
+    x = np.array([r[1:] for r in rows])
+    want = np.percentile(density.kth_distances(x, 12), 97)
+    assert abs(density.estimate_eps(frame(spark, rows), "id", ["a", "b"], 12, 0.97) - want) < 1e-5
+
+
 @pytest.mark.parametrize("n,want", [(4, 0), (5, 1), (6, 2)])
 def test_windows_at_the_shard_size(spark, n, want):
     df = sequence.windows(sequence.seq_shards(frame(spark, random_rows(n)), "id", 1), "id", ["a"], 5)
