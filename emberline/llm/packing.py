@@ -32,32 +32,18 @@ LARGE = 1 / 3
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, ranks_path: str | None):
-    """Text -> ids of the vocabulary at ``path``; by the faster library where its ranks are given and it surely agrees."""
-    import base64
-    import re
-
+def encoder(path: str):
+    """Text -> ids of the vocabulary at ``path``, as its ``encode(text, add_special_tokens=False)`` gives them."""
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    slow = lambda text: exact.encode(text, add_special_tokens=False).ids
-    if ranks_path is None:
-        return slow
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    unsure = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]")  # where the libraries' character tables might differ
-    return lambda text: slow(text) if unsure.search(text) else fast(text)
+    vocabulary = Tokenizer.from_file(path)
+    return lambda text: vocabulary.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without the offsets of tokens
 
 
-def default_paths() -> tuple[str, str | None]:
+def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -68,8 +54,8 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] * (first > 0) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, part, seen = encoder(*paths), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    encode, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for b in batches:
         out = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -262,17 +248,19 @@ def _placed(batches: Iterator[pa.RecordBatch], rows: np.ndarray) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows[i, 3] + rank - rows[i, 1]), pa.array(rows[i, 4])], [*names, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, capacity: int = 2048, paths: tuple[str, str | None] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids`` on request).
 
-    A document is its token ids and the id 0, so a null or empty text is one token. Documents over the capacity are
-    cut; others stay whole. Rows with one doc_id are documents of their own. Other columns are ignored. An empty table
-    gives an empty result. The driver sees the histogram of lengths alone, at most ``capacity`` rows.
+    A document is its token ids and the id 0, so a null or empty text is one token. The name of a special token in a
+    text is that token, as the vocabulary has it. Documents over the capacity, however long, are cut; others stay
+    whole. Rows with one doc_id, a null one too, are documents of their own; of pieces of equal length, which goes
+    where depends on the order read. Other columns are ignored. An empty table gives an empty result. The driver sees
+    the histogram of lengths alone, at most ``capacity`` rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long, ids array<int>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pieces, paths=paths or default_paths(), capacity=capacity, with_ids=with_ids), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pieces, path=path or default_path(), capacity=capacity, with_ids=with_ids), schema)
     rows = cut(rows if with_ids else rows.drop("ids"))
     counts = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = counts.select("part", "length", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
