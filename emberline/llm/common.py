@@ -15,8 +15,8 @@ from emberline.session import workers_find_package
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` uses exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch: texts are long, so batches are kept small.
-BATCH_ROWS = 400
+#: Bytes of an Arrow batch: a bound on a worker's memory whatever the length of texts.
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few texts in each Arrow batch."""
+    """Bound the memory of Python workers by the bytes of an Arrow batch. A lower bound that the session has stays.
+
+    The setting stays in the session: it is read when a query runs, which is after the operator returned.
+    """
     workers_find_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = lambda x: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(x)
+    if not 0 < size(spark.conf.get(name)) < size(BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from emberline.llm.common import cut
 
 
+#: Parts that the edges of one node are dealt into where they meet the node's row.
+SALT = 8
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: each node's (larger or smaller) neighbours are linked to the least of them."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "salt"])
     out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else None
     if out is None:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

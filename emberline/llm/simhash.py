@@ -1,18 +1,18 @@
 """SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
-Fingerprints at ``distance`` or fewer differing bits share at least two of ``distance + 2`` bit blocks. Each distinct
-fingerprint is sent to one group for each pair of blocks; a group is a contiguous run of the Gray order of the codes
-with those blocks put first. In a group, codes are sorted by Gray rank and a tree is built over them: a node keeps
-the bits that all its codes share and that no ancestor keeps. A search adds up the differing bits on its way down
-and drops a whole node as soon as the sum exceeds the limit. Links found in a group are reduced to a spanning star,
-so a group of any size gives fewer edges than it has codes.
+All distinct fingerprints are put in Gray order and cut into ranges. A node of the index keeps the bits that all its
+codes share and that no ancestor keeps; the topmost levels are over the ranges, the others over one range's codes. A
+search adds up the differing bits on its way down and drops a whole node, or a whole range, as soon as the sum exceeds
+the limit; so each code is sent to the ranges alone that the upper levels leave. A node of which all codes are already
+connected to the query is dropped too, so a large group of near copies costs no comparison of all its pairs. A range's
+task holds the range's codes; queries stream through it. Links are given as edges to one code of the component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,36 +25,59 @@ from emberline.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LANES = np.uint64(0x0101010101010101)
-FAN = 8
-#: Pairs of a search step that are held at once.
-FRONT = 1 << 19
-#: Codes of a group beyond which it is split once more by further blocks.
-HOT = 8192
-
-
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles of UTF-8 text; no word: 0."""
+FAN = 4
+#: Pairs of a search step that are held at once, and queries between two looks at what is connected.
+FRONT, STEP = 1 << 19, 1 << 13
+#: Codes of a range, about, and ranges at least.
+CODES, RANGES = 1 << 20, 32
+#: Bit number of bit k of byte lane j, at [k, j].
+PLACES = (np.arange(8)[:, None] + 8 * np.arange(8)).astype(np.uint64)
+#: Parts that the rows of one component are dealt into where they meet their component's row.
+SALT = 16
+
+
+def prints(text: bytes, words: int = 4, seed: int = 42, many: int = 1) -> np.ndarray:
+    """SimHashes of the word shingles of UTF-8 text, no word: 0. The first is of their XXH64, each other one of these mixed anew."""
     w = text.translate(LOWER).split()
     if not w:
-        return 0
+        return np.zeros(many, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
     h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)
-    n = len(h)
+    if many > 1:
+        h = np.stack([h, *(_mixed(h, i) for i in range(1, many))])
+    h = h.reshape(many, -1)
+    n = h.shape[1]
     if n == 1:
-        return int(h[0])
-    counts = np.empty((8, 8), np.int64)  # of bit k of byte lane j
+        return h[:, 0]
+    counts = np.empty((many, 8, 8), np.int64)  # of bit k of byte lane j
     starts = np.arange(0, n, 255)
     for k in range(8):
-        sums = np.add.reduceat((h >> np.uint64(k)) & LANES, starts)  # lanes hold up to 255 each
-        counts[k] = sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    bits = 2 * counts > n
-    return sum(1 << (8 * int(j) + int(k)) for k, j in zip(*np.nonzero(bits)))
+        sums = np.add.reduceat((h >> np.uint64(k)) & LANES, starts, axis=1)  # lanes hold up to 255 each
+        counts[:, k] = sums.view(np.uint8).reshape(many, -1, 8).sum(axis=1, dtype=np.int64)
+    return ((2 * counts > n) * (np.uint64(1) << PLACES)).sum(axis=(1, 2), dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray, i: int) -> np.ndarray:
+    h = h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    return int(prints(text, words, seed)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t or b"", words, seed) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+
+
+def _prints(batches: Iterator[pa.RecordBatch], words: int, seed: int, many: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [prints(t or b"", words, seed, many).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64())), b.column(2)], ["doc_id", "fps", "row_hash"])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -66,11 +89,13 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over uint64 codes: level 0 has the codes in Gray order, each level above has groups of FAN."""
+    """Hierarchical index over masked uint64 patterns in Gray order; each level above has groups of FAN nodes.
+
+    ``compared`` and ``dropped`` count, by level, the nodes that queries met and those among them that they dropped.
+    """
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        value, mask = codes[self.order], np.full(len(codes), ~np.uint64(0))
+    def __init__(self, value: np.ndarray, mask: np.ndarray | None = None):
+        mask = np.full(len(value), ~np.uint64(0)) if mask is None else mask
         levels = [(value, mask)]
         while len(value) > FAN:
             at = np.arange(0, len(value), FAN)
@@ -80,22 +105,55 @@ class GrayIndex:
         self.value = [v for v, _ in levels]
         #: A node's own bits: those that its parent doesn't keep.
         self.own = [m & ~np.repeat(levels[i + 1][1], FAN)[: len(m)] if i + 1 < len(levels) else m for i, (_, m) in enumerate(levels)]
-
-    def search(self, queries: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Yields (query number, code number) of all pairs at up to ``distance`` differing bits."""
-        step = max(1, FRONT // max(1, len(self.value[-1])))
-        for at in range(0, len(queries), step):
-            q = np.arange(at, min(len(queries), at + step))
-            stack = [(len(self.value) - 1, np.repeat(q, len(self.value[-1])), np.tile(np.arange(len(self.value[-1])), len(q)), None)]
+        self.compared, self.dropped = (np.zeros(len(levels), np.int64) for _ in range(2))
+
+    def marks(self, label: np.ndarray) -> list[np.ndarray]:
+        """By level: the label that all of a node's codes have, or -1."""
+        out = [label]
+        for v in self.value[1:]:
+            at = np.arange(0, len(out[-1]), FAN)
+            low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def likely(self, queries: np.ndarray) -> np.ndarray:
+        """For each query the code that one way down finds, by the nearest node of each level."""
+        at, far = np.zeros(len(queries), np.int64), np.zeros((len(queries), 1), np.int64)
+        for level in range(len(self.value) - 1, -1, -1):
+            n = len(self.value[level])
+            kids = np.minimum(at[:, None] * FAN + np.arange(FAN if level < len(self.value) - 1 else n), n - 1)
+            d = far + np.bitwise_count((queries[:, None] ^ self.value[level][kids]) & self.own[level][kids])
+            best = d.argmin(axis=1)[:, None]
+            at, far = np.take_along_axis(kids, best, 1)[:, 0], np.take_along_axis(d, best, 1)
+        return at
+
+    def search(self, queries: np.ndarray, distance: int, known: tuple[list[np.ndarray], np.ndarray] | None = None, after: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Yields (query number, code number) of all pairs at up to ``distance`` differing bits.
+
+        ``known``: nodes' marks and each query's label (-1: none); pairs with equal labels are left out. ``after``:
+        for each query a code number; pairs with codes up to it are left out.
+        """
+        top = len(self.value) - 1
+        if not len(self.value[top]):
+            return
+        step = max(1, FRONT // len(self.value[top]))
+        for begin in range(0, len(queries), step):
+            q = np.arange(begin, min(len(queries), begin + step))
+            stack = [(top, np.repeat(q, len(self.value[top])), np.tile(np.arange(len(self.value[top])), len(q)), np.int16(0))]
             while stack:
                 level, q, node, far = stack.pop()
-                d = np.bitwise_count((queries[q] ^ self.value[level][node]) & self.own[level][node]).astype(np.int16)
-                d = d if far is None else d + far
+                d = np.bitwise_count((queries[q] ^ self.value[level][node]) & self.own[level][node]).astype(np.int16) + far
                 near = d <= distance
+                self.compared[level] += len(q)
+                self.dropped[level] += len(q) - int(near.sum())
+                if known is not None:
+                    near &= (known[0][level][node] != known[1][q]) | (known[1][q] < 0)
+                if after is not None:
+                    near &= (node + 1) * FAN**level - 1 > after[q]
                 q, node, d = q[near], node[near], d[near]
                 if not level:
                     if len(q):
-                        yield q, self.order[node]
+                        yield q, node
                     continue
                 for k in range(0, len(q), FRONT // FAN):
                     kids = (node[k : k + FRONT // FAN, None] * FAN + np.arange(FAN)).ravel()
@@ -103,63 +161,144 @@ class GrayIndex:
                     stack.append((level - 1, np.repeat(q[k : k + FRONT // FAN], FAN)[there], kids[there], np.repeat(d[k : k + FRONT // FAN], FAN)[there]))
 
 
-def group_star(codes: np.ndarray, distance: int) -> np.ndarray:
-    """For each distinct code of a group the number of the least code linked to it, in any number of steps."""
-    root = np.arange(len(codes))
+class RangeLinks:
+    """The index of one range's distinct codes, and which of them are connected so far."""
+
+    def __init__(self, codes: np.ndarray, distance: int):
+        self.rank = np.sort(gray_rank(codes))
+        self.codes = self.rank ^ (self.rank >> np.uint64(1))
+        self.index, self.distance = GrayIndex(self.codes), distance
+        self.root = np.arange(len(codes))
+        at = np.arange(len(codes))
+        self._search(self.codes, at, at)
 
-    def top(x: np.ndarray) -> np.ndarray:
+    def _top(self, x: np.ndarray) -> np.ndarray:
         while True:
-            y = root[x]
+            y = self.root[x]
             if (y == x).all():
                 return x
             x = y
 
-    for a, b in GrayIndex(codes).search(codes, distance):
-        keep = a > b
-        a, b = a[keep], b[keep]
+    def _union(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            ra, rb = top(a), top(b)
+            ra, rb = self._top(a), self._top(b)
             differ = ra != rb
             a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-    return top(root)
+            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+    def _met(self, label: np.ndarray, q: np.ndarray, c: np.ndarray) -> None:
+        new = label[q] < 0
+        label[q[new]] = c[new]
+        self._union(label[q], c)
+
+    def _search(self, queries: np.ndarray, label: np.ndarray, after: np.ndarray | None) -> None:
+        """Connects queries, by their codes' numbers in ``label`` (-1: none yet), with the codes near them."""
+        last = len(self.codes) - 1
+        place = np.searchsorted(self.rank, gray_rank(queries))
+        for beside in (np.minimum(place, last), np.maximum(place - 1, 0), self.index.likely(queries)):  # one near code leaves out all that are connected to it
+            q = np.flatnonzero(np.bitwise_count(queries ^ self.codes[beside]) <= self.distance)
+            self._met(label, q, beside[q])
+        at, step = 0, 64
+        while at < len(queries):
+            part = slice(at, at + step)
+            self.root = self._top(self.root)
+            own = np.where(label[part] < 0, -1, self.root[np.maximum(label[part], 0)])
+            for q, c in self.index.search(queries[part], self.distance, (self.index.marks(self.root), own), None if after is None else after[part]):
+                self._met(label, q + at, c)
+            at, step = at + step, min(2 * step, STEP)
+
+    def link(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from queries of other ranges."""
+        label = np.full(len(queries), -1)
+        self._search(queries, label, None)
+        linked = label >= 0
+        return queries[linked], self.codes[self._top(label[linked])]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        root = self._top(self.root)
+        linked = root != np.arange(len(root))
+        return self.codes[linked], self.codes[root[linked]]
+
+
+class Ranges:
+    """The upper levels: the ranges' ends in Gray order and the bits that each one's codes share."""
+
+    def __init__(self, ends: np.ndarray):
+        self.ends, self.index, self.number = ends, None, None
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, gray_rank(codes))
+
+    def know(self, number: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        """Numbers of the ranges that have codes, in order, and their shared bits."""
+        self.number, self.index = number, GrayIndex(ones, ones | zeros)
+
+    def sent(self, codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(range, code number) of where codes are asked for. Of two ranges one asks the other, so that all have about as much to do."""
+        own = self.of(codes)
+        for q, node in self.index.search(codes, distance):
+            there = self.number[node]
+            asks = np.where((there + own[q]) % 2 == 0, there > own[q], there < own[q])
+            yield there[asks], q[asks]
+
+
+def _uint(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _shared_bits(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
+    """(fp) -> (range, ones, zeros): bits that a batch's codes of a range share."""
+    for b in batches:
+        codes = np.sort(gray_rank(_uint(b.column(0))))
+        at, first = np.unique(np.searchsorted(ranges.ends, codes), return_index=True)
+        codes ^= codes >> np.uint64(1)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, np.bitwise_and.reduceat(codes, first).view(np.int64), np.bitwise_and.reduceat(~codes, first).view(np.int64))], ["range", "ones", "zeros"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int, hot: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, part, key) of whole groups -> edges (u, v), and the members of groups over ``hot`` with their part as split."""
-    got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-    if not got:
-        return
-    fp, part, key = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((fp, key, part))
-    fp, part, key = fp[order], part[order], key[order]
-    new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
-    size = np.diff(np.r_[new, len(fp)])
-    u, v, split = [], [], []
-    for at, n in zip(new[size > 1], size[size > 1]):
-        codes = fp[at : at + n]
-        if hot is not None and n > hot:
-            u.append(codes), v.append(codes), split.append(part[at : at + n])
-            continue
-        star = group_star(codes.view(np.uint64), distance)
-        linked = star != np.arange(n)
-        u.append(codes[linked]), v.append(codes[star[linked]]), split.append(np.full(int(linked.sum()), -1, np.int32))
-    if u:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, split)], ["u", "v", "split"])
+def _sent(batches: Iterator[pa.RecordBatch], ranges: Ranges, distance: int) -> Iterator[pa.RecordBatch]:
+    """(fp) -> (range, asks, fp): each code in its own range, and as a query where it is asked for."""
+    for b in batches:
+        codes = _uint(b.column(0))
+        for asks, (there, at) in ((False, (ranges.of(codes), slice(None))), *((True, x) for x in ranges.sent(codes, distance))):
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), asks)), pa.array(codes[at].view(np.int64))], ["range", "asks", "fp"])
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_sent` in order, whole ranges -> edges (u, v)."""
 
+    def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], ["u", "v"])
 
-def _block_masks(mask: int, blocks: int) -> list[int]:
-    """The set bits of ``mask`` dealt into so many contiguous blocks."""
-    bits = [i for i in range(64) if mask >> i & 1]
-    return [sum(1 << int(i) for i in b) for b in np.array_split(bits, blocks)]
+    for runs in _ranges(batches):
+        held, links, waiting = [], None, []
+        for asks, codes in runs:
+            if not asks:
+                held.append(codes)
+                continue
+            links = links or RangeLinks(np.concatenate(held), distance)
+            waiting.append(codes)
+            if sum(map(len, waiting)) >= 8 * STEP:
+                yield edges(*links.link(np.concatenate(waiting)))
+                waiting = []
+        links = links or RangeLinks(np.concatenate(held), distance)
+        if waiting:
+            yield edges(*links.link(np.concatenate(waiting)))
+        yield edges(*links.edges())
 
 
-def _pairs(distance: int) -> list[int]:
-    return [a | b for a, b in combinations(_block_masks((1 << 64) - 1, distance + 2), 2)]
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[bool, np.ndarray]]]:
+    """Of each range the runs (asks, codes), in order."""
+
+    def runs() -> Iterator[tuple[int, bool, np.ndarray]]:
+        for b in batches:
+            r, asks, codes = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), _uint(b.column(2))
+            at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (asks[1:] != asks[:-1])]) if len(r) else ()
+            for i, j in zip(at, [*at[1:], len(r)]):
+                yield int(r[i]), bool(asks[i]), codes[i:j]
+
+    for _, group in groupby(runs(), key=lambda x: x[0]):
+        yield (x[1:] for x in group)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
@@ -173,38 +312,59 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
 
 
-def code_links(codes: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
+def _rank(fp: Column) -> Column:
+    """As :func:`gray_rank`, in the order of signed numbers."""
+    for n in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, n))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def code_links(codes: DataFrame, distance: int = 4, size: int = CODES, least: int = RANGES) -> DataFrame:
     """Edges ``(u, v)`` that connect all distinct codes ``fp`` at up to ``distance`` differing bits, and no others.
 
-    Groups with more than ``hot`` codes are split once more by the bits left, into ``distance + 1`` further blocks of
-    which a linked pair shares one.
+    ``codes`` is read three times. There is a range for each ``size`` codes, ``least`` of them at least; one row of
+    each comes to the driver and goes to the tasks (at 10**10 codes 10,000 rows of 32 bytes).
     """
-    masks = _pairs(distance)
-    keyed = codes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("g")).select("fp", "g.part", "g.key")
-    first = cut(keyed.repartition("part", "key").mapInArrow(partial(_links, distance=distance, hot=hot), "u long, v long, split int"))
-    large = first.where("split >= 0")
-    finer = F.lit(None)
-    for i, m in enumerate(masks):
-        rest = [m | x for x in _block_masks(((1 << 64) - 1) & ~m, distance + 1)]
-        finer = F.when(F.col("split") == i, F.array(*(F.struct(F.lit(i * 64 + j).alias("part"), F.col("u").bitwiseAND(F.lit(_signed(x))).alias("key")) for j, x in enumerate(rest)))).otherwise(finer)
-    again = large.select(F.col("u").alias("fp"), F.explode(finer).alias("g")).select("fp", "g.part", "g.key")
-    second = again.repartition("part", "key").mapInArrow(partial(_links, distance=distance, hot=None), "u long, v long, split int")
-    return first.where("split < 0").unionByName(second).select("u", "v")
-
-
-def representatives(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    parts = max(least, -(-codes.count() // size))
+    ends = codes.agg(F.percentile_approx(_rank(F.col("fp")), [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    ranges = Ranges(np.unique(np.array(ends or [], np.int64)).view(np.uint64) ^ np.uint64(1 << 63))
+    shared = codes.select("fp").mapInArrow(partial(_shared_bits, ranges=ranges), "range long, ones long, zeros long")
+    found = shared.groupBy("range").agg(F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros")).orderBy("range").collect()
+    ranges.know(*(np.array([r[c] for r in found], np.int64).view(kind) for c, kind in (("range", np.int64), ("ones", np.uint64), ("zeros", np.uint64))))
+    sent = codes.select("fp").mapInArrow(partial(_sent, ranges=ranges, distance=distance), "range long, asks boolean, fp long")
+    return sent.repartition(parts, "range").sortWithinPartitions("range", "asks").mapInArrow(partial(_links, distance=distance), "u long, v long")
+
+
+def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """Rows with distinct ``fp`` -> also ``root``, one code of the component."""
+    roots = connected_components(code_links(nodes.select("fp"), distance))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def representatives(docs: DataFrame, words: int = 5, distance: int = 4, seed: int = 42, many: int = 8) -> DataFrame:
     """The row that stands for each component of near-duplicates: ``doc_id, row_hash`` of it, and ``times`` it is there.
 
-    It is the row of the least doc_id, null last, and of the least :func:`row_hash` among rows of that doc_id.
+    Texts are linked if any of ``many`` independent fingerprints of them are at up to ``distance`` differing bits: one
+    alone at 4 bits links few of the texts that are alike at 0.8 to 0.95, several link most. It is the row of the least
+    doc_id, null last, and of the least :func:`row_hash` among rows of that doc_id. Null texts count as empty; empty
+    texts are alike. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("row_hash"))
-    fps = cut(rows.mapInArrow(partial(_fingerprints, words=words, seed=seed), "doc_id long, fp long, row_hash long"))
+    fps = cut(rows.mapInArrow(partial(_prints, words=words, seed=seed, many=many), "doc_id long, fps array<long>, row_hash long"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "times")).alias("least")
-    nodes = fps.groupBy("fp", "doc_id", "row_hash").agg(F.count("*").alias("times")).groupBy("fp").agg(least)
-    roots = connected_components(code_links(nodes.select("fp"), distance))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    return linked.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_hash", "least.times")
+    nodes = cut(fps.groupBy("fps", "doc_id", "row_hash").agg(F.count("*").alias("times")).groupBy("fps").agg(least))
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+    edges = None
+    for i in range(many):
+        by_code = cut(nodes.groupBy(F.get("fps", F.lit(i)).alias("fp")).agg(F.min("id").alias("id")))
+        linked = code_links(by_code.select("fp"), distance).join(by_code.withColumnsRenamed({"fp": "u", "id": "a"}), "u").join(by_code.withColumnsRenamed({"fp": "v", "id": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        same = nodes.select(F.get("fps", F.lit(i)).alias("fp"), F.col("id").alias("u")).join(by_code, "fp").where("u != id").select("u", F.col("id").alias("v"))
+        linked = linked.unionByName(same)
+        edges = linked if edges is None else edges.unionByName(linked)
+    roots = connected_components(edges)
+    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select("least", F.coalesce("root", "id").alias("root"))
+    return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_hash", "least.times")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -212,11 +372,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
     Null and empty texts, and texts of white space alone, have fingerprint zero and are linked like any other. Equal
     fingerprints always share a component; its id is the least doc_id in it (null if it has none). Repeated rows stay
-    repeated; other columns are ignored. An empty table gives an empty result.
+    repeated; other columns are ignored. Of a text all shingles count, however many; a worker holds one text's at a
+    time. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, words, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(code_links(nodes.select("fp"), distance))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = cut(_rooted(nodes, distance)).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int"))
+    many = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    many = many.select("root", "component_id", "n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))  # so that a large component is dealt out
+    ids = linked.join(many, ["root", "salt"], "left").select("fp", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -18,8 +18,8 @@ def test_stages_keep_columns_and_decide(spark):
             assert seen[-1].columns == docs.columns, name
     clean, single, cut, mixed, packed = seen[1:]
     assert 0 < clean.count() < docs.count()
-    fps = [simhash.fingerprint((r["text"] or "").encode()) for r in single.collect()]
-    far = np.bitwise_count(np.array(fps, np.uint64)[:, None] ^ np.array(fps, np.uint64)[None])
+    fps = np.array([simhash.prints((r["text"] or "").encode(), 5, 42, 8) for r in single.collect()])
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).min(axis=2)
     assert (far[np.triu_indices(len(fps), 1)] > 4).all()
     assert cut.count() == single.count() and cut.where("n_chars != char_length(text)").count() == 0
     strings = [t[i : i + 200] for t in ((r["text"] or "").encode() for r in single.collect()) for i in range(max(0, len(t) - 199))]

@@ -341,10 +341,10 @@ def slow_fingerprint(text: str) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_near_duplicates_match_brute_force(docs, rows, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(simhash.code_links, "__defaults__", (4, hot))
+@pytest.mark.parametrize("ranges", [None, (4, 3, 1), (4, 1 << 20, 1)])
+def test_near_duplicates_match_brute_force(docs, rows, monkeypatch, ranges):
+    if ranges:
+        monkeypatch.setattr(simhash.code_links, "__defaults__", ranges)
     got = Counter(tuple(x) for x in simhash.near_duplicates(docs).collect())
     fps = [slow_fingerprint(t) for _, t, _ in rows]
     label = list(range(len(rows)))
@@ -357,8 +357,9 @@ def test_near_duplicates_match_brute_force(docs, rows, monkeypatch, hot):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [50, 10_000])
-def test_code_links_connect_as_all_pairs_do(spark, hot):
+@pytest.mark.parametrize("size,least,step", [(50, 1, 7), (200, 5, 1 << 13), (10_000, 1, 64)])
+def test_code_links_connect_as_all_pairs_do(spark, monkeypatch, size, least, step):
+    monkeypatch.setattr(simhash, "STEP", step)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 150, dtype=np.uint64)
     codes = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) for _ in range(6)), base[0] ^ rng.integers(0, 256, 150, dtype=np.uint64)]))
@@ -367,7 +368,7 @@ def test_code_links_connect_as_all_pairs_do(spark, hot):
     for _ in range(60):
         label = np.array([label[row].min() for row in near])
     signed = codes.view(np.int64).tolist()
-    roots = {r["node"]: r["root"] for r in connected_components(simhash.code_links(spark.createDataFrame([(c,) for c in signed], "fp long"), 4, hot)).collect()}
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.code_links(spark.createDataFrame([(c,) for c in signed], "fp long"), 4, size, least)).collect()}
     groups, want = defaultdict(set), defaultdict(set)
     for c, x in zip(signed, label):
         groups[roots.get(c, c)].add(c)
@@ -375,6 +376,35 @@ def test_code_links_connect_as_all_pairs_do(spark, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_upper_nodes_drop_whole_groups_of_the_table():
+    texts = duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    codes = np.unique(np.array([simhash.fingerprint((t or "").encode()) for (t,) in texts], np.uint64))
+    links = simhash.RangeLinks(codes, 4)
+    index = links.index
+    assert len(codes) > 5000 and len(index.value) > 3
+    assert (index.dropped[1:-1] > 0).all() and index.dropped[1] > 0.5 * index.compared[1]
+    assert index.compared.sum() < 0.55 * len(codes) * (len(codes) - 1) / 2  # of all pairs of codes
+    near = np.argwhere(np.triu(np.bitwise_count(links.codes[:, None] ^ links.codes[None]) <= 4, 1))
+    root = links._top(links.root)
+    assert len(near) and (root[near[:, 0]] == root[near[:, 1]]).all()
+    plain = {frozenset(map(int, p)) for p in near}
+    got = {frozenset((int(a), int(b))) for q, c in simhash.GrayIndex(links.codes).search(links.codes, 4) for a, b in zip(q, c) if a != b}
+    assert got == plain
+
+
+def test_a_large_group_of_near_codes_isnt_compared_pair_by_pair():
+    r = np.random.default_rng(3)
+    flips = [np.uint64(1) << r.integers(0, 64, 20_000, dtype=np.uint64) for _ in range(2)]
+    codes = np.unique(np.uint64(0x0123456789ABCDEF) ^ flips[0] ^ flips[1] ^ r.integers(0, 256, 20_000, dtype=np.uint64) * np.uint64(1 << 20))
+    links = simhash.RangeLinks(codes, 4)
+    assert len(codes) > 15_000 and len(set(links._top(links.root))) < 20
+    assert links.index.compared[0] < 0.1 * len(codes) ** 2 / 2
+    other = np.unique(codes ^ np.uint64(1 << 63))
+    before = links.index.compared[0]
+    u, _ = links.link(other)
+    assert len(u) > 0.99 * len(other) and links.index.compared[0] - before < 0.2 * len(codes) * len(other)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
