@@ -2,9 +2,10 @@
 
 1. Voters. Words and word beginnings that mark toxic rows of a bounded labelled sample become lexicon voters, picked one
    after another by the rows they add; pattern voters look at how the hits are spread over the text.
-2. Label model. A generative model has for each voter the chance of each vote given the hidden label; expectation
-   maximisation estimates these accuracies. Votes that go together beyond what the label explains are correlated: such
-   voters share their weight, and the model is estimated again.
+2. Label model. A generative model of the votes alone: the hidden label, and each voter's chance of each vote given the
+   label and the vote of the one voter that it is most correlated with (a tree; conditional mutual information finds
+   it). Expectation maximisation estimates these accuracies and correlations. The given labels don't vote: they set the
+   share of toxic rows and calibrate the posterior's log odds by two numbers.
 3. A linear classifier is trained on the posterior labels, and scores every whole text.
 """
 
@@ -25,10 +26,10 @@ from emberline.llm.common import share, small_batches
 
 #: Labelled documents that voters, label model and classifier are fitted on, about.
 SAMPLE = 10_000
-#: Accuracy of the given labels as a voter.
-TRUST = 0.98
-#: Lexicon voters at most, and candidates they are picked from.
-VOTERS, CANDIDATES = 64, 1500
+#: Lexicon voters at most, and candidates they are picked from: parameters of :func:`fit`.
+VOTERS, CANDIDATES = 256, 6000
+#: Evidence (twice the log likelihood, 8 degrees of freedom) from which two voters count as correlated.
+EVIDENCE = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Features of the pattern voters.
 PATTERNS = 4
@@ -110,39 +111,66 @@ def votes(x: np.ndarray) -> np.ndarray:
     return np.column_stack([lex.astype(np.int8), *(p.astype(np.int8) for p in patterns)])
 
 
-def label_model(v: np.ndarray, given: np.ndarray, trust: float = TRUST, rounds: int = 30) -> np.ndarray:
-    """Posterior of the toxic label of each row of votes; accuracies by EM, correlated voters share their weight.
+class LabelModel:
+    """Votes -1, 0, 1 of voters given a hidden label; estimated from the votes alone.
 
-    The given labels are one more voter, whose accuracy is known: ``trust``.
+    ``up``: of each voter the voter that its vote depends on, or -1. ``share``: prior of the label.
     """
-    n, m = v.shape
-    shown = np.stack([v == k for k in (-1, 0, 1)])
-    weight = np.ones(m)
-    own = np.where(given, 1, -1) * np.log(trust / (1 - trust))
-    posterior = np.where(given, trust, 1 - trust)
-    for again in range(2):
+
+    def __init__(self, v: np.ndarray, share: float, rounds: int = 60):
+        self.share, self.m = share, v.shape[1]
+        self.up = np.full(self.m, -1)
+        total = v.sum(axis=1)
+        self.posterior = np.where(total > 0, 0.9, np.where(total < 0, 0.02, share))
+        shown = (v[:, :, None] == np.array([-1, 0, 1])).reshape(len(v), -1).astype(float)
+        self._estimate(v, shown, rounds)
+        self.up = self._tree(shown)
+        if (self.up >= 0).any():
+            self._estimate(v, shown, rounds)
+
+    def _joint(self, shown: np.ndarray) -> list[np.ndarray]:
+        """For each label the soft counts of pairs of votes: [voter, vote, other voter, other vote]."""
+        return [((shown.T * w) @ shown).reshape(self.m, 3, self.m, 3) for w in (self.posterior, 1 - self.posterior)]
+
+    def _estimate(self, v: np.ndarray, shown: np.ndarray, rounds: int) -> None:
+        every, root = np.arange(self.m), self.up < 0
         for _ in range(rounds):
             logs = []
-            for label in (posterior, 1 - posterior):
-                chance = np.einsum("kij,i->kj", shown, label) + 0.1
-                chance /= chance.sum(axis=0)
-                logs.append(np.einsum("kij,kj->i", shown, np.log(chance) * weight))
-            prior = np.clip(posterior.mean(), 0.001, 0.999)
-            odds = logs[0] - logs[1] + own + np.log(prior / (1 - prior))
-            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            moved = np.abs(new - posterior).max()
-            posterior = new
+            for joint in self._joint(shown):
+                own = joint[every, :, every, :][:, range(3), range(3)] + 0.05 * np.array([1, 8, 1])  # most voters abstain
+                own /= own.sum(axis=1, keepdims=True)
+                chance = joint[self.up, :, every, :] + 2 * own[:, None, :]  # towards independence where votes are few
+                chance = np.where(root[:, None, None], own[:, None, :], chance / chance.sum(axis=2, keepdims=True))
+                logs.append(np.log(chance)[every, v[:, self.up] + 1, v + 1].sum(axis=1))
+            self.odds = np.clip(logs[0] - logs[1] + np.log(self.share / (1 - self.share)), -30, 30)
+            new = 1 / (1 + np.exp(-self.odds))
+            moved = np.abs(new - self.posterior).max()
+            self.posterior = new
             if moved < 1e-6:
                 break
-        if not again:
-            # what is left of each vote once the label is known
-            one, zero = (np.einsum("ij,i->j", v, p) / max(p.sum(), 1e-9) for p in (posterior, 1 - posterior))
-            rest = v - posterior[:, None] * one - (1 - posterior)[:, None] * zero
-            size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            correlation = np.abs((rest / size).T @ (rest / size)) / n
-            np.fill_diagonal(correlation, 0)
-            weight = 1 / (1 + np.where(correlation > 0.2, correlation, 0).sum(axis=1))
-    return posterior
+
+    def _tree(self, shown: np.ndarray) -> np.ndarray:
+        """Maximum spanning tree of the conditional mutual information of pairs, without edges of little evidence."""
+        info = np.zeros((self.m, self.m))
+        for joint in self._joint(shown):
+            j = joint.transpose(0, 2, 1, 3) + 1e-9
+            info += (j * np.log(j * j.sum(axis=(2, 3), keepdims=True) / (j.sum(axis=3, keepdims=True) * j.sum(axis=2, keepdims=True)))).sum(axis=(2, 3))
+        np.fill_diagonal(info, 0)
+        up, best, near, open_ = np.full(self.m, -1), info[0].copy(), np.zeros(self.m, int), np.arange(self.m) > 0
+        while open_.any():
+            j = int(np.argmax(np.where(open_, best, -1)))
+            open_[j] = False
+            if 2 * best[j] > EVIDENCE:
+                up[j] = near[j]
+            near = np.where(info[j] > best, j, near)
+            best = np.maximum(best, info[j])
+        return up
+
+    def calibrated(self, given: np.ndarray) -> np.ndarray:
+        """The posterior with its log odds scaled and shifted so that they suit the given labels."""
+        z = self.odds[:, None] / 10
+        w = linear(z, given.astype(float))
+        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
 
 
 def linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -160,7 +188,7 @@ def linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60
     return w
 
 
-def pick(candidates: list[str], rows: list[set[int]], toxic: np.ndarray, most: int = VOTERS, least: int = 2) -> list[str]:
+def pick(candidates: list[str], rows: list[set[int]], toxic: np.ndarray, most: int, least: int = 2) -> list[str]:
     """Terms that one after another add most toxic rows not yet hit, for few clean ones."""
     has = np.zeros((len(rows), len(candidates)), bool)
     for i, r in enumerate(rows):
@@ -188,8 +216,11 @@ def pick(candidates: list[str], rows: list[set[int]], toxic: np.ndarray, most: i
     return [candidates[i] for i in out]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Matcher, np.ndarray]:
-    """Learns from about ``sample`` labelled rows with crc32(doc_id) mod 5 not 0; equal texts count once."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int = VOTERS, candidates: int = CANDIDATES) -> tuple[Matcher, np.ndarray]:
+    """Learns from about ``sample`` labelled rows with crc32(doc_id) mod 5 not 0; equal texts count once.
+
+    At most ``voters`` terms vote, picked from the ``candidates`` that mark toxic rows best.
+    """
     small_batches(docs.sparkSession)
     chosen = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("doc_id").isNotNull()
     known = labels.where(chosen).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -199,17 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Match
     rows = rows.select("text", (F.col("toxic") == 1).alias("toxic"), "doc_id").cache()
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 2 and toxic > clean")
     order = F.col("toxic") * F.col("toxic") / (F.col("toxic") + 3 * F.col("clean") + 1)
-    candidates = [r["term"] for r in counts.orderBy(order.desc(), F.length("term").desc(), "term").limit(CANDIDATES).select("term").collect()]
-    number = {t: i for i, t in enumerate(candidates)}
+    found = [r["term"] for r in counts.orderBy(order.desc(), F.length("term").desc(), "term").limit(candidates).select("term").collect()]
+    number = {t: i for i, t in enumerate(found)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[number[t] for t in terms(x) if t in number] for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2)], ["terms", "toxic", "doc_id"])
+            own = [[number[t] for t in terms(x) if t in number] for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column(1), b.column(2)], ["terms", "toxic", "doc_id"])
 
     got = sorted((r["doc_id"], r["toxic"], r["terms"]) for r in rows.mapInArrow(held, "terms array<int>, toxic boolean, doc_id long").collect())
     toxic = np.array([r[1] for r in got], bool)
-    matcher = Matcher(pick(candidates, [set(r[2]) for r in got], toxic))
+    matcher = Matcher(pick(found, [set(r[2]) for r in got], toxic, voters))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Match
         weights = np.zeros(len(matcher.lexicon) + PATTERNS + 1)
         weights[-1] = 4.0 if len(toxic) and toxic.all() else -4.0
         return matcher, weights
-    return matcher, linear(x, label_model(votes(x), toxic))
+    return matcher, linear(x, LabelModel(votes(x), float(toxic.mean())).calibrated(toxic))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: tuple[Matcher, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +267,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: tuple[Matcher, np.ndarray]
 def score(docs: DataFrame, model: tuple[Matcher, np.ndarray]) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Null and empty texts have no hit and get the score of a text without any. ``held_out`` is true where crc32 of the
+    Null and empty texts have no hit and get the score of a text without any. Of a text all hits count, however long
+    it is. Equal texts have equal scores. ``held_out`` is true where crc32 of the
     doc_id mod 5 is 0 (false for a null id). Without labels of both kinds all rows get one score. Repeated rows stay
     repeated and other columns are ignored. An empty table gives an empty result.
     """
@@ -247,7 +279,10 @@ def score(docs: DataFrame, model: tuple[Matcher, np.ndarray]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: tuple[Matcher, np.ndarray]) -> DataFrame:
-    """The documents, all their columns, that aren't predicted toxic."""
+    """The documents, all their columns, that aren't predicted toxic.
+
+    Null and empty texts stay (unless the model rejects a text without any hit), repeated rows stay or go together.
+    """
     small_batches(docs.sparkSession)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
