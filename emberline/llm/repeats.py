@@ -12,7 +12,11 @@ Which bytes are covered by a string of ``length`` bytes that also starts elsewhe
    neighbours by range minima. A string repeats where a neighbour shares ``length`` symbols. The rounds read a
    sequential column-major array in which a column is one contiguous slice.
 
-Equal whole texts are treated once, and are covered as a whole.
+Passages that are equal are combined in each task before they move, with a list of their owners. Around an anchor of
+very many texts the passages are dealt by where strings start, in the end into one part for each start: then strings
+move as digests, and a task has one row for each string of another task at most.
+
+Equal whole texts are treated once, and are covered as a whole. A text is known by 120 bits of its SHA-256.
 """
 
 from __future__ import annotations
@@ -30,8 +34,11 @@ from pyspark.sql import functions as F
 from emberline.llm.common import cut, release, small_batches, stored, text_or_empty
 
 GRAM = 32
-#: Texts that share an anchor beyond which its passages are grouped by longer cores, and the parts of the starts then.
-HOT, WAYS = 20_000, 2
+#: Texts that share an anchor beyond which its passages are grouped by longer cores, and the parts of the starts then;
+#: with 0 parts each start is one.
+LEVELS = ((20_000, 2), (200_000, 0))
+#: Distinct passages, and owners, that a task combines before it sends them.
+COMBINED, OWNERS = 20_000, 200_000
 #: Symbol of a column outside the document; it equals no byte.
 OUTSIDE = 256
 PLACE = np.uint64((1 << 24) - 1)
@@ -84,23 +91,19 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return p, np.concatenate(hashes)[first]
 
 
-def _key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key, text), each text not yet seen in this task -> (anchor, key, place, more): one row per distinct anchor of a text, with all its places."""
-    seen: set[int] = set()
+    """(key, key2, text), each text not yet seen in this task -> (anchor, key, key2, place, more): one row per distinct anchor of a text, with all its places."""
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         keys, anchor, place, more = [], [], [], []
-        for k, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-            if k in seen or len(text) < length:
+        for *k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+            if tuple(k) in seen or len(text) < length:
                 continue
             if len(seen) < 1 << 20:  # what isn't known any more is only sent twice
-                seen.add(k)
+                seen.add(tuple(k))
             p, h = anchors(np.frombuffer(text, np.uint8), length)
             own, first, n = np.unique(h.view(np.int64), return_index=True, return_counts=True)
-            keys.append(np.full(len(own), k, np.int64)), anchor.append(own), place.append(p[first])
+            keys.append(np.tile(k, (len(own), 1))), anchor.append(own), place.append(p[first])
             rest: list = [None] * len(own)
             if len(own) < len(h):
                 order = np.argsort(h.view(np.int64), kind="stable")
@@ -109,46 +112,52 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                     rest[i] = p[order[ends[i] - n[i] + 1 : ends[i]]]
             more += rest
         if keys:
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (anchor, keys, place)), pa.array(more, pa.list_(pa.int64()))], ["anchor", "key", "place", "more"])
+            both = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (np.concatenate(anchor), both[:, 0], both[:, 1], np.concatenate(place))), pa.array(more, pa.list_(pa.int64()))], ["anchor", "key", "key2", "place", "more"])
 
 
-PASSAGE = "gid long, key long, places array<long>, col0 int, passage binary"
+PASSAGE = "gid long, keys array<long>, keys2 array<long>, places array<long>, col0 int, passage binary"
 
 
 def _passage_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, at) -> PASSAGE rows: equal passages around one anchor of a text are one row with all their places.
+    """(key, key2, text, at) -> PASSAGE rows: equal passages around one anchor are one row with all their owners.
 
-    Around a hot anchor strings are dealt by where they start into WAYS parts. All strings of a part hold its core, so
-    the part's passages are grouped by the core's hash rather than by the anchor.
+    Around an anchor with several ways strings are dealt by where they start. All strings of a part hold its core, so
+    the part's passages are grouped by the core's hash rather than by the anchor. Where a part has one start alone its
+    string is replaced by a digest; ``col0`` is -1 - start.
     """
     side = length - GRAM
-    cuts = [(i * (side + 1) // WAYS, (i + 1) * (side + 1) // WAYS - 1) for i in range(WAYS)]
+    held: dict[tuple, tuple[list, list, list]] = {}
+    owners = 0
     for b in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for k, text, at in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+        for k, k2, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
             for x in at:
-                own: dict[tuple, list[int]] = {}
+                ways = x["ways"] or side + 1
                 for p in (x["place"], *(x["more"] or ())):
                     base = p - side
-                    for lo, hi in cuts if x["hot"] else ((0, side),):
+                    for i in range(ways):
+                        lo, hi = i * (side + 1) // ways, (i + 1) * (side + 1) // ways - 1
                         gid = x["anchor"]
-                        if x["hot"]:
+                        if ways > 1:
                             if base + hi < 0 or base + lo + length > len(text):
                                 continue  # no string of this part lies in the text
                             gid = xxhash.xxh64_intdigest(text[base + hi : base + lo + length], lo) >> 1
-                        own.setdefault((gid, max(lo, -base), text[max(0, base + lo) : base + hi + length]), []).append(p)
-                for (gid, col0, passage), places in own.items():
-                    out[0].append(gid), out[1].append(k), out[2].append(places), out[3].append(col0), out[4].append(passage)
-            if len(out[0]) > 20_000:
-                yield _batch(out)
-                out = ([], [], [], [], [])
-        if out[0]:
-            yield _batch(out)
+                        passage = text[max(0, base + lo) : base + hi + length]
+                        code = (gid, max(lo, -base), passage) if ways <= side else (gid, -1 - lo, hashlib.sha256(passage).digest())
+                        own = held.setdefault(code, ([], [], []))
+                        own[0].append(k), own[1].append(k2), own[2].append(p)
+                        owners += 1
+            if len(held) > COMBINED or owners > OWNERS:
+                yield _batch(held)
+                held, owners = {}, 0
+    if held:
+        yield _batch(held)
 
 
-def _batch(out) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["gid", "key", "places", "col0", "passage"])
+def _batch(held: dict) -> pa.RecordBatch:
+    gid, col0, passage = zip(*held)
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in zip(*held.values())]
+    return pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), *lists, pa.array(col0, pa.int32()), pa.array(passage, pa.binary())], ["gid", "keys", "keys2", "places", "col0", "passage"])
 
 
 def repeated_starts(columns: np.ndarray, length: int, starts: int) -> np.ndarray:
@@ -188,40 +197,41 @@ def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All passages of whole anchors -> (key, start, stop) of covered bytes."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
+    """All passages of whole groups -> (key, key2, start, stop) of covered bytes."""
     side = length - GRAM
-    width = side + length
     code: dict[tuple, int] = {}
-    which, key, place = [], [], []
-    while got:
-        b = got.pop()
-        n = [code.setdefault(x, len(code)) for x in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-        places = b.column(2)
-        each = np.diff(places.offsets.to_numpy())
-        which.append(np.repeat(np.array(n, np.int64), each)), key.append(np.repeat(b.column(1).to_numpy(), each)), place.append(places.flatten().to_numpy())
-    which, key, place = (np.concatenate(x) for x in (which, key, place))
+    parts: list[tuple] = []
+    for b in batches:
+        # digests of different groups differ, as the group is a hash of the same string
+        n = [code.setdefault(x, len(code)) for x in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+        lists = [b.column(i) for i in (1, 2, 3)]
+        parts.append((np.repeat(np.array(n, np.int64), np.diff(lists[0].offsets.to_numpy())), *(x.flatten().to_numpy() for x in lists)))
+    if not code:
+        return
+    which, key, key2, place = (np.concatenate(x) for x in zip(*parts))
+    del parts
     many = np.bincount(which)  # equal passages are treated as one
-    distinct = list(code)
-    del code
-    m = len(distinct)
-    columns = np.full((width, m), OUTSIDE, np.uint16)
-    for i, (c, p) in enumerate(distinct):
+    col0 = np.array([c for c, _ in code], np.int64)
+    size = np.array([len(p) for _, p in code], np.int64)
+    whole = np.flatnonzero(col0 >= 0)
+    columns = np.full((side + length, len(whole)), OUTSIDE, np.uint16)
+    for i, (c, p) in enumerate(x for x in code if x[0] >= 0):
         columns[c : c + len(p), i] = np.frombuffer(p, np.uint8)
-    first = np.array([c for c, _ in distinct], np.int64)
-    last = np.array([c + len(p) - length for c, p in distinct], np.int64)  # last start inside the text
-    del distinct
+    del code
     found = repeated_starts(columns, length, side + 1)
     del columns
     c = np.arange(side + 1)[:, None]
-    found = (found | (many > 1)) & (c >= first) & (c <= np.minimum(last, side))
+    last = col0[whole] + size[whole] - length  # last start inside the text
+    found = (found | (many[whole] > 1)) & (c >= col0[whole]) & (c <= np.minimum(last, side))
     edge = np.diff(np.pad(found, ((1, 1), (0, 0))).astype(np.int8), axis=0)
     begin_i, begin_c = np.nonzero(edge.T == 1)
-    end_c = np.nonzero(edge.T == -1)[1]
-    # of each distinct passage its runs of starts; now for each of its rows
-    runs = np.searchsorted(begin_i, [np.arange(m), np.arange(m) + 1]) if len(begin_i) else np.zeros((2, m), np.int64)
+    begin_i, end_c = whole[begin_i], np.nonzero(edge.T == -1)[1] - 1
+    single = np.flatnonzero((col0 < 0) & (many > 1))  # one start, and a digest that others have too
+    begin_i, begin_c, end_c = (np.concatenate(x) for x in ((begin_i, single), (begin_c, -1 - col0[single]), (end_c, -1 - col0[single])))
+    order = np.argsort(begin_i, kind="stable")
+    begin_i, begin_c, end_c = begin_i[order], begin_c[order], end_c[order]
+    # of each distinct passage its runs of starts; now for each of its owners
+    runs = np.searchsorted(begin_i, [np.arange(len(many)), np.arange(len(many)) + 1])
     n_runs = (runs[1] - runs[0])[which]
     row = np.repeat(np.arange(len(which)), n_runs)
     if not len(row):
@@ -229,7 +239,7 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
     run = runs[0][which[row]] + nth
     zero = place[row] - side  # of column 0
-    yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(zero + begin_c[run]), pa.array(zero + end_c[run] - 1 + length)], ["key", "start", "stop"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], key2[row], zero + begin_c[run], zero + end_c[run] + length)], ["key", "key2", "start", "stop"])
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -251,38 +261,51 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """(key, text, spans) -> digest rows; with_text: the kept text too, without characters that lost a byte."""
+    """(key, key2, text, spans) -> digest rows; with_text: the kept text too, without characters that lost a byte."""
     for b in batches:
         out = []
-        for k, text, s in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+        for k, k2, text, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
             spans = merged([(x["start"], x["stop"]) for x in s])
             kept = without(text, spans)
-            out.append((k, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "stop": y} for x, y in spans], kept.decode("utf-8", "ignore") if with_text else None))
+            out.append((k, k2, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         cols = list(zip(*out)) or [()] * 6
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.string()))], ["key", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "key2", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+
+#: What a text is known by.
+KEY = ["key", "key2"]
+
+
+def _keys(sha) -> list:
+    """120 bits of a SHA-256 in hex, as two numbers."""
+    return [F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("long").alias(k) for i, k in enumerate(KEY)]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
+    return docs.select(*_keys(F.sha2(text, 256)), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Rows ``(key, start, stop)``: covered bytes of each distinct text, spans may overlap. Texts that occur as a whole more than once aren't treated here beyond their first copy."""
+    """Rows ``(key, key2, start, stop)``: covered bytes of each distinct text, spans may overlap. Texts that occur as a whole more than once aren't treated here beyond their first copy."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, place long, more array<long>")
-    counts = rows.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.count("more").alias("twice"), F.count("*").alias("n")).where("k0 != k1 or twice > 0")
-    often = cut(counts.select("anchor", (F.col("n") > HOT).alias("hot")))  # so that the join is of two shuffles alone, and a hot anchor can be split
-    shared, drop = stored(rows.join(often.hint("merge"), "anchor").select("key", "anchor", "place", "more", "hot"))
+    rows = _texts(docs).mapInArrow(partial(_anchor_rows, length=length), "anchor long, key long, key2 long, place long, more array<long>")
+    ends = [f(k).alias(f"{f.__name__}_{k}") for k in KEY for f in (F.min, F.max)]
+    counts = rows.groupBy("anchor").agg(*ends, F.count("more").alias("twice"), F.count("*").alias("n")).where("min_key != max_key or min_key2 != max_key2 or twice > 0")
+    ways = F.lit(1)
+    for least, parts in LEVELS:
+        ways = F.when(F.col("n") > least, parts).otherwise(ways)
+    often = cut(counts.select("anchor", ways.alias("ways")))  # so that the join is of two shuffles alone, and a hot anchor can be split
+    shared, drop = stored(rows.join(often.hint("merge"), "anchor").select(*KEY, "anchor", "place", "more", "ways"))
     release(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-shared.count() // PASSAGES))
-    shared = shared.dropDuplicates(["key", "anchor"])  # a text that several tasks have sent
-    places = shared.groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "more", "hot")).alias("at"))
-    texts = _texts(docs).join(places, "key")
-    passages = texts.select("key", "text", "at").mapInArrow(partial(_passage_rows, length=length), PASSAGE)
-    spans = cut(passages.repartition(parts, "gid").mapInArrow(partial(_spans, length=length), "key long, start long, stop long"))
+    shared = shared.dropDuplicates([*KEY, "anchor"])  # a text that several tasks have sent
+    places = shared.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "place", "more", "ways")).alias("at"))
+    texts = _texts(docs).join(places, KEY)
+    passages = texts.select(*KEY, "text", "at").mapInArrow(partial(_passage_rows, length=length), PASSAGE)
+    spans = cut(passages.repartition(parts, "gid").mapInArrow(partial(_spans, length=length), "key long, key2 long, start long, stop long"))
     drop()
     release(spark)
     return spans
@@ -290,11 +313,11 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def _decisions(docs: DataFrame, keys: DataFrame, length: int, with_text: bool) -> DataFrame:
     """By key of the texts that lose something or occur more than once (n_removed -1); keys: one row per document."""
-    copies = keys.groupBy("key").agg(F.count("*").alias("n"))
-    spans = repeated_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    single = spans.join(copies.where("n = 1").select("key"), "key", "left_semi")
-    done = _texts(docs).join(single, "key").select("key", "text", "spans").mapInArrow(partial(_digests, with_text=with_text), "key long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>, kept_text string")
-    return done.unionByName(copies.where("n > 1").select("key", F.lit(-1).cast("long").alias("n_removed")), allowMissingColumns=True)
+    copies = keys.groupBy(*KEY).agg(F.count("*").alias("n"))
+    spans = repeated_spans(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    single = spans.join(copies.where("n = 1").select(*KEY), KEY, "left_semi")
+    done = _texts(docs).join(single, KEY).select(*KEY, "text", "spans").mapInArrow(partial(_digests, with_text=with_text), "key long, key2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return done.unionByName(copies.where("n > 1").select(*KEY, F.lit(-1).cast("long").alias("n_removed")), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -303,16 +326,17 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     A byte is removed if a string of ``length`` bytes that covers it starts anywhere else too, in any document or in
     the same one; strings are judged on the input and may overlap. Null texts count as empty; empty and short texts
     lose nothing; equal texts of ``length`` bytes or more lose everything. Repeated rows count as documents of their
-    own. Other columns are ignored. An empty table gives an empty result.
+    own. Texts may have any length: they are hashed in chunks. Other columns are ignored. An empty table gives an empty
+    result.
     """
     small_batches(docs.sparkSession)
     text = text_or_empty()
     index = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    index = cut(index.withColumn("key", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")))
+    index = cut(index.select("*", *_keys(F.col("sha"))))
     done = _decisions(docs, index, length, False)
     whole = (F.col("n_removed") == -1) & (F.col("n_bytes") >= length)
     part = F.coalesce(F.col("n_removed"), F.lit(-1)) >= 0
-    return index.join(done, "key", "left").select(
+    return index.join(done, KEY, "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).when(part, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
@@ -324,16 +348,18 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """The documents with what is left of their texts (as :func:`remove_repeats` decides) and its ``n_chars``.
 
-    A character that lost some of its bytes is dropped. Texts that lose nothing stay as they are, nulls too.
+    A character that lost some of its bytes is dropped. Texts that lose nothing stay as they are, nulls too. All rows
+    and columns stay, of repeated rows each; columns may have any name that doesn't start with ``__``.
     """
     small_batches(docs.sparkSession)
-    keys = cut(_texts(docs).select("key"))
-    done = _decisions(docs, keys, length, True).select(F.col("key").alias("__of"), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept"))
+    keys = cut(_texts(docs).select(*KEY))
+    done = _decisions(docs, keys, length, True).select(F.col("key").alias("__of"), F.col("key2").alias("__of2"), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept"))
     text = text_or_empty()
     whole = (F.col("__removed") == -1) & (F.octet_length(text) >= length)
     left = F.when(whole, F.lit("")).when(F.col("__removed") >= 0, F.col("__kept")).otherwise(F.col("text"))
-    keyed = docs.withColumn("__own", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long"))
-    out = keyed.join(done, F.col("__own") == F.col("__of"), "left").withColumn("text", left)
+    own = _keys(F.sha2(text, 256))
+    keyed = docs.withColumns({"__own": own[0], "__own2": own[1]})
+    out = keyed.join(done, (F.col("__own") == F.col("__of")) & (F.col("__own2") == F.col("__of2")), "left").withColumn("text", left)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)

@@ -280,10 +280,11 @@ def covered(texts: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 3])
-def test_repeats_match_brute_force(spark, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("levels,combined", [(None, 20_000), (((3, 2),), 2), (((2, 2), (6, 13), (12, 0)), 7), (((0, 0),), 5)])
+def test_repeats_match_brute_force(spark, monkeypatch, levels, combined):
+    if levels:
+        monkeypatch.setattr(repeats, "LEVELS", levels)
+        monkeypatch.setattr(repeats, "COMBINED", combined)
     r = random.Random(5)
     passages = [edge.words(r, n) for n in (30, 50, 90)]
     texts = [(r.choice(passages)[r.randint(0, 40) :] + edge.words(r, r.randint(0, 60)) + r.choice(passages) + "é" * r.randint(0, 120)) for _ in range(40)]
