@@ -1,87 +1,105 @@
-"""Quality by an interpolated modified Kneser-Ney model of UTF-8 bytes, trained on trusted text.
-
-Nothing has a fixed size: counts, contexts and probabilities are tables sharded by n-gram, which grow with the trusted
-text. A context has at most 256 continuations and an n-gram at most 256 left extensions, so no key of the model's
-joins is hot.
-
-Texts move into blocks, compressed, once to count and once to score. A block counts its trusted n-grams, and asks for
-each distinct n-gram of its texts once; shards join these requests with the model's entries, and the answers return to
-the block, which adds up the log probabilities of its documents. Requests travel as sorted, packed keys, answers as
-entries in the requests' order: the block makes the same keys again. Perplexities are compared with quantiles of the
-same language's trusted documents that the models weren't trained on.
+"""Quality by an interpolated modified Kneser-Ney model of word pairs, trained on trusted text.
+
+Nothing has a fixed size: counts, contexts and probabilities are tables sharded by word, which grow with the trusted
+text. A language has a model of its own if it has enough trusted documents.
+
+1. Blocks of texts count the pairs of their trusted texts. Shards, by a pair's first word, sum the counts; from the
+   distinct pairs they tell the second words' shards in how many left contexts each word is found.
+2. Blocks ask the shards for each distinct word and pair of their texts once. A shard holds its part of the model and
+   answers requests as they stream by: a pair's own discounted share, a word's lower-order probability, and the weight
+   that a context leaves to the lower order.
+3. Blocks add up the log probabilities of their documents. Perplexities are compared with quantiles of the same model's
+   trusted documents that it wasn't trained on.
+
+Words are known by 48 bits of a hash, seeded by the model; a pair that the model hasn't is taken for one that it has
+with a chance of its number of pairs over 2**48. Requests travel as sorted, packed keys, answers in the order asked.
+Texts move into blocks compressed, once for each of the three steps, and nothing of the model is broadcast.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, release, share, small_batches, stored
 
-ORDER = 5
-#: Bytes that UTF-8 doesn't use: before a text and at its end.
-START, END = b"\xff" * (ORDER - 1), b"\xfe"
-#: Languages with a model of their own, the largest; all others share one.
-LANGUAGES = 1000
-#: Trusted documents of a language below which it has no model of its own.
+#: Trusted documents of a language below which it has no model of its own; such languages share one.
 LEAST = 30
 OTHER = "*"
 #: Share of the trusted documents that the models aren't trained on; thresholds come from these.
 HELD = 0.2
-#: Quantile of a language's trusted perplexities up to which documents are kept.
+#: Quantile of a model's held-out trusted perplexities up to which documents are kept.
 QUANTILE = 0.99
-#: Bytes of text in a block; the most shards, and the blocks whose requests one task of a shard answers.
-BLOCK, SHARDS, BLOCKS = 16 << 20, 1009, 1024
-#: Grams of a text that are held at once.
-CHUNK = 1 << 20
-#: A key has the gram in its low bits, then a tag (its length; CONTEXT more for the weight of what follows), then the model.
-#: A request is without CONTEXT and asks for both.
-GRAM_BITS, CONTEXT = 8 * ORDER, 8
-#: Entries are whole numbers of so many to a unit of the natural logarithm.
+#: Bytes of text in a block, and of a shard's part of all text.
+BLOCK = 16 << 20
+#: Bytes of a text that are split into words at once, and pairs that are held at once.
+CHUNK, PAIRS = 1 << 20, 1 << 21
+#: Answers are whole numbers of so many to a unit of the natural logarithm.
 STEPS = 512
+#: Before a text and at its end: no word has a blank.
+START, END = b" <", b" >"
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bits of a hash that aren't sent.
+UNSENT = np.uint64(16)
+
+
+def _word_keys(words: list[bytes], model: int) -> np.ndarray:
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=model), words), np.uint64, len(words)) >> UNSENT
+
+
+def pairs(text: bytes, model: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of each word and of the one before it, with START and END, in chunks."""
+    before, end = _word_keys([START, END], model)
+    at = 0
+    while at < len(text):
+        stop = BLANK.search(text, at + CHUNK)
+        stop = stop.start() if stop else len(text)
+        k = _word_keys(text[at:stop].split(), model)
+        if len(k):
+            yield np.r_[before, k[:-1]], k
+            before = k[-1]
+        at = stop
+    yield np.array([before]), np.array([end])
 
 
-def grams(text: bytes) -> Iterator[np.ndarray]:
-    """The ORDER bytes up to each byte and up to the text's end, as numbers, in chunks."""
-    data = np.frombuffer(START + text + END, np.uint8)
-    for at in range(0, len(data) - ORDER + 1, CHUNK):
-        part = data[at : at + CHUNK + ORDER - 1].astype(np.int64)
-        g = np.zeros(len(part) - ORDER + 1, np.int64)
-        for i in range(ORDER):
-            g = (g << 8) | part[i : len(part) - ORDER + 1 + i]
-        yield g
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def counted(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of texts in order, and their counts."""
+#: Distinct pairs in order of their hash: hash, first and second word, count.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def summed(parts: list[Counts]) -> Counts:
+    if not parts:
+        return tuple(np.empty(0, np.uint64) for _ in range(3)) + (np.empty(0, np.int64),)
+    h, a, b, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[first], a[order][first], b[order][first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def counted(texts: Iterator[bytes], model: int) -> Counts:
     hold, size, done = [], 0, []
     for text in texts:
-        for g in grams(text):
-            hold.append(g)
-            size += len(g)
-            if size >= CHUNK:
-                done.append(np.unique(np.concatenate(hold), return_counts=True))
-                hold, size = [], 0
-                if len(done) > 7:
-                    done = [summed(done)]
-    if hold:
-        done.append(np.unique(np.concatenate(hold), return_counts=True))
-    return summed(done)
-
-
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+        for a, b in pairs(text, model):
+            hold.append((pair_hash(a, b), a, b, np.ones(len(a), np.int64)))
+            size += len(a)
+            if size >= PAIRS:
+                done, hold, size = [summed(done + hold)], [], 0
+    return summed(done + hold)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -94,22 +112,39 @@ def _unpack(x: bytes) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=0))
+    """Keys in order."""
+    return _pack(np.diff(keys.astype(np.int64), prepend=0))
 
 
 def _unpack_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(x))
+    return np.cumsum(_unpack(x)).astype(np.uint64)
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, places of its keys in their order)."""
-    shard = keys % shards
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its entries in their order)."""
     order = np.argsort(shard, kind="stable")
     at = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(at)):
         yield int(s), order[at[s] : at[s + 1]]
 
 
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key % np.uint64(shards)).astype(np.int64)
+
+
+#: What moves between blocks and shards. kind: counts of pairs (one, two: their words), left contexts of words (one),
+#: or requests (one: words, two: pairs).
+MOVED = (("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("model", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("n", pa.binary()))
+COUNTS, CONTEXTS, REQUEST = range(3)
+SCHEMA = "shard long, kind int, block long, model long, one binary, two binary, n binary"
+ANSWER = (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()))
+
+
+def _table(rows: list[tuple], columns=MOVED) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(columns)
+    return pa.table({name: pa.array(c, t) for (name, t), c in zip(columns, cols)})
+
+
 def _by_model(docs: pa.Table) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for i, m in enumerate(docs.column("model").to_pylist()):
@@ -129,165 +164,198 @@ def _texts(docs: pa.Table, rows: list[int]) -> Iterator[bytes]:
     return (press.decompress(text[i].as_py()) for i in rows)
 
 
-def _tagged(grams: np.ndarray, tag: int, model: int) -> np.ndarray:
-    return grams | (tag << GRAM_BITS) | (model << (GRAM_BITS + 4))
+# -- the model -------------------------------------------------------------------------------------------------------
 
 
-def _gather(docs: pa.Table, good: pa.Table, shards: int) -> pa.Table:
-    """By shard, packed: the counts of the block's trusted grams, and with no counts the entries that its texts need."""
-    if not docs.num_rows:
-        return _table([], PACKED)
+def _count_block(docs: pa.Table, good: pa.Table, shards: int) -> pa.Table:
+    """Counts of the block's trusted pairs, by the first word's shard."""
     trusted = set(good.column("doc_id").to_pylist())
-    ids, block = docs.column("doc_id").to_pylist(), docs.column("block")[0].as_py()
-    out: list[tuple] = []
+    ids, out = docs.column("doc_id").to_pylist(), []
     for model, rows in _by_model(docs).items():
-        g, n = counted(_texts(docs, [i for i in rows if ids[i] in trusted]))
-        keys = _tagged(g, ORDER, model)
-        out += [(block, s, model, _pack_keys(keys[at]), _pack(n[at])) for s, at in _by_shard(keys, shards)]
-        rest, m = counted(_texts(docs, [i for i in rows if ids[i] not in trusted]))
-        keys = _asked(summed([(g, n), (rest, m)])[0], model)
-        out += [(block, s, model, _pack_keys(keys[at]), None) for s, at in _by_shard(keys, shards)]
-    return _table(out, PACKED)
+        h, a, b, n = counted(_texts(docs, [i for i in rows if ids[i] in trusted]), model)
+        order = np.argsort(a, kind="stable")
+        a, b, n = a[order], b[order], n[order]
+        out += [(s, COUNTS, -1, model, _pack_keys(a[at]), _pack(b[at]), _pack(n[at])) for s, at in _by_shard(_shard(a, shards), shards)]
+    return _table(out)
 
 
-PACKED = (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()))
+def _read_counts(moved: pa.Table) -> dict[int, Counts]:
+    parts: dict[int, list[Counts]] = {}
+    for model, one, two, n in zip(*(moved.column(c).to_pylist() for c in ("model", "one", "two", "n"))):
+        a, b = _unpack_keys(one), _unpack(two).astype(np.uint64)
+        held = parts.setdefault(model, [])
+        held.append((pair_hash(a, b), a, b, _unpack(n)))
+        if len(held) > 63:
+            held[:] = [summed(held)]
+    return {model: summed(p) for model, p in parts.items()}
 
 
-def _table(rows: list[tuple], columns) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * len(columns)
-    return pa.table({name: pa.array(c, t) for (name, t), c in zip(columns, cols)})
+STATS = tuple((f"n{i}", pa.int64()) for i in (1, 2, 3, 4)) + (("entries", pa.int64()), ("total", pa.int64()))
+WITH_STATS = SCHEMA + "".join(f", {c} long" for c, _ in STATS)
 
 
-def _sums(packed: pa.Table) -> pa.Table:
-    """All packed counts of a shard -> one row per gram."""
-    parts: list = []
-    for k, n in zip(packed.column("keys").to_pylist(), packed.column("counts").to_pylist()):
-        parts.append((_unpack_keys(k), _unpack(n)))
-        if len(parts) > 63:
-            parts = [summed(parts)]
-    keys, n = summed(parts)
-    return pa.table({"key": keys, "n": n})
+def _stats(n: np.ndarray) -> tuple[int, ...]:
+    return *(int((n == i).sum()) for i in (1, 2, 3, 4)), len(n), int(n.sum())
 
 
-def _asked(g: np.ndarray, model: int) -> np.ndarray:
-    """Keys of what the probabilities of distinct grams may need, in order: their suffixes, and the contexts of these."""
-    out = []
-    for k in range(ORDER + 1):
-        ends = g & ((1 << 8 * k) - 1)
-        out.append(_tagged(np.unique(ends if k == ORDER else np.r_[ends, (g >> 8) & ((1 << 8 * k) - 1)]), k, model))
-    return np.concatenate(out)
+def _sum_counts(moved: pa.Table, shards: int) -> pa.Table:
+    """All counts of a shard -> the same summed, and for the second words' shards the numbers of distinct pairs."""
+    shard, out = moved.column("shard")[0].as_py(), []
+    for model, (h, a, b, n) in _read_counts(moved).items():
+        order = np.argsort(a, kind="stable")
+        out.append((shard, COUNTS, -1, model, _pack_keys(a[order]), _pack(b[order]), _pack(n[order]), *_stats(n)))
+        word, contexts = np.unique(b, return_counts=True)
+        out += [(s, CONTEXTS, shard, model, _pack_keys(word[at]), None, _pack(contexts[at]), *(None,) * len(STATS)) for s, at in _by_shard(_shard(word, shards), shards)]
+    return _table(out, MOVED + STATS)
 
 
-def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """Requests and entries of a shard -> each request's entries, one more than they are and 0 where there is none, then likewise its weights."""
-    known, entry = model.column("key").to_numpy(), model.column("entry").to_numpy()
-    order = np.argsort(known)
-    known, entry = known[order], entry[order] + 1
+def _sum_contexts(moved: pa.Table) -> pa.Table:
+    shard, parts = moved.column("shard")[0].as_py(), {}
+    for model, one, n in zip(*(moved.column(c).to_pylist() for c in ("model", "one", "n"))):
+        parts.setdefault(model, []).append((_unpack_keys(one), _unpack(n)))
     out = []
-    for block, shard, own, packed in zip(*(asked.column(x).to_pylist() for x in ("block", "shard", "model", "keys"))):
-        keys = _unpack_keys(packed)
-        got = np.r_[_look(known, entry, keys), _look(known, entry, keys | CONTEXT << GRAM_BITS)]
-        if got.any():
-            out.append((block, shard, own, _pack(got)))
-    return _table(out, (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("entries", pa.binary())))
+    for model, p in parts.items():
+        k, n = (np.concatenate(x) for x in zip(*p))
+        word, at = np.unique(k, return_inverse=True)
+        n = np.bincount(at, weights=n).astype(np.int64)
+        out.append((shard, CONTEXTS, -1, model, _pack_keys(word), None, _pack(n), *_stats(n)))
+    return _table(out, MOVED + STATS)
 
 
-def _look(known: np.ndarray, entry: np.ndarray, keys: np.ndarray) -> np.ndarray:
+class Discounts:
+    """Discounts of one order from the numbers of entries that were counted once, twice, three and four times."""
+
+    def __init__(self, n1: int, n2: int, n3: int, n4: int, entries: int, total: int):
+        n = (n1, n2, n3, n4)
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        self.less = np.array([0.0] + [max(0.1, min(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2, 0.9 * i)) for i in (1, 2, 3)])
+        self.entries, self.total = entries, total
+        #: What the discounts free in all.
+        self.spare = float(self.less[1:] @ [n1, n2, entries - n1 - n2])
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        return self.less[np.minimum(n, 3)]
+
+
+class ShardModel:
+    """One model's part of a shard."""
+
+    def __init__(self, first: Discounts, second: Discounts):
+        self.first, self.second = first, second
+        self.pair = self.word = self.context = np.empty(0, np.uint64)
+        self.own = self.low = self.back = np.empty(0)
+
+    def add_pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        """Counts in order of ``a``."""
+        self.context, at = np.unique(a, return_inverse=True)
+        total, spare = np.bincount(at, weights=n), np.bincount(at, weights=self.second.of(n))
+        self.back = spare / total
+        own = (n - self.second.of(n)) / total[at]
+        pair = pair_hash(a, b) >> UNSENT
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.own = pair[order], own[order]
+
+    def add_words(self, word: np.ndarray, n: np.ndarray) -> None:
+        self.word, self.low = word, (n - self.first.of(n)) / self.first.total + self.unseen()
+
+    def unseen(self) -> float:
+        """Lower-order probability of a word without a left context; one place more than words is for all such words."""
+        return self.first.spare / self.first.total / (self.first.entries + 1)
+
+    def answers(self, words: np.ndarray, pair_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, back, own = _look(self.word, self.low, words, self.unseen()), _look(self.context, self.back, words, 1.0), _look(self.pair, self.own, pair_keys, 0.0)
+        return np.r_[_steps(low), _steps(back)], _steps(own)
+
+
+def _look(known: np.ndarray, value: np.ndarray, keys: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(known):
-        return np.zeros(len(keys), np.int64)
+        return np.full(len(keys), otherwise)
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, entry[at], 0)
+    return np.where(known[at] == keys, value[at], otherwise)
 
 
-def log_probabilities(g: np.ndarray, model: int, keys: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Of the last byte of each gram, in steps below zero: the entry of its longest suffix that has one, and the weights of the contexts beyond.
+def _steps(p: np.ndarray) -> np.ndarray:
+    """-ln of probabilities in steps, one more than they are; 0 for probability 0."""
+    return np.where(p > 0, np.round(-np.log(np.maximum(p, 1e-300)) * STEPS) + 1, 0).astype(np.int64)
+
+
+def _probability(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, np.exp((1 - steps) / STEPS), 0.0)
+
+
+def _ask_block(docs: pa.Table, shards: int) -> pa.Table:
+    """Requests of the block's distinct words and pairs."""
+    out, block = [], docs.column("block")[0].as_py() if docs.num_rows else 0
+    for model, rows in _by_model(docs).items():
+        asked = _asked(counted(_texts(docs, rows), model), shards)
+        out += [(s, REQUEST, block, model, _pack_keys(words), _pack_keys(pair_keys), None) for s, words, _, pair_keys, _ in asked]
+    return _table(out)
 
-    ``keys`` are those asked for, ``entry`` and ``weight`` their answers.
-    """
-    out = np.full(len(g), int(np.log(256) * STEPS), np.int64)
-    for k in range(1, ORDER + 1):
-        u = g & ((1 << 8 * k) - 1)
-        own = entry[np.searchsorted(keys, _tagged(u, k, model))]
-        back = weight[np.searchsorted(keys, _tagged(u >> 8, k - 1, model))]
-        out = np.where(own > 0, own - 1, out + np.maximum(back - 1, 0))
-    return out
 
+def _asked(distinct: Counts, shards: int) -> Iterator[tuple]:
+    """Of each shard its words and pair keys in order, with their places among the block's words and pairs."""
+    h, a, b, _ = distinct
+    words = np.unique(np.concatenate([a, b]))
+    of_word, of_pair = dict(_by_shard(_shard(words, shards), shards)), dict(_by_shard(_shard(a, shards), shards))
+    for s in sorted(of_word):
+        w, p = of_word[s], of_pair.get(s, np.empty(0, np.int64))
+        yield s, words[w], w, h[p] >> UNSENT, p
 
-def _scores(docs: pa.Table, got: pa.Table, shards: int) -> pa.Table:
-    answers = {(m, s): e for m, s, e in zip(*(got.column(x).to_pylist() for x in ("model", "shard", "entries")))}
-    with_model = {m for m, _ in answers}
-    ids, names = docs.column("doc_id"), docs.column("model")
+
+def _answered(batches: Iterator[pa.RecordBatch], stats: dict[int, tuple[Discounts, Discounts]]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard and kind -> answers. A task holds one shard's model; requests stream by."""
+    shard, models = None, {}
+    for b in batches:
+        out = []
+        for s, kind, block, model, one, two, n in zip(*(b.column(i).to_pylist() for i in range(7))):
+            if s != shard:
+                shard, models = s, {m: ShardModel(*x) for m, x in stats.items()}
+            if model not in models:
+                continue  # a model without trusted text
+            if kind == COUNTS:
+                models[model].add_pairs(_unpack_keys(one), _unpack(two).astype(np.uint64), _unpack(n))
+            elif kind == CONTEXTS:
+                models[model].add_words(_unpack_keys(one), _unpack(n))
+            else:
+                words, pair_steps = models[model].answers(_unpack_keys(one), _unpack_keys(two))
+                out.append((block, s, model, _pack(words), _pack(pair_steps)))
+        yield from _table(out, ANSWER).to_batches()
+
+
+def _score_block(docs: pa.Table, got: pa.Table, shards: int) -> pa.Table:
+    answers = {(m, s): (w, p) for m, s, w, p in zip(*(got.column(x).to_pylist() for x in ("model", "shard", "words", "pairs")))}
+    known = {m for m, _ in answers}
     perplexity: list = [None] * docs.num_rows
     for model, rows in _by_model(docs).items():
-        if model not in with_model:
+        if model not in known:
             continue  # a model without trusted text
-        distinct = counted(_texts(docs, rows))[0]
-        keys = _asked(distinct, model)
-        entry, weight = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for s, at in _by_shard(keys, shards):
-            if (model, s) in answers:
-                entry[at], weight[at] = np.split(_unpack(answers[model, s]), 2)
-        logs = log_probabilities(distinct, model, keys, entry, weight)
+        distinct = h, a, b, _ = counted(_texts(docs, rows), model)
+        words = np.unique(np.concatenate([a, b]))
+        low, back, own = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(h), np.int64)
+        for s, _, w, _, p in _asked(distinct, shards):
+            word_steps, pair_steps = map(_unpack, answers[model, s])
+            low[w], back[w] = np.split(word_steps, 2)
+            own[p] = pair_steps
+        logs = -np.log(_probability(own) + _probability(back)[np.searchsorted(words, a)] * _probability(low)[np.searchsorted(words, b)])
         for i, text in zip(rows, _texts(docs, rows)):
-            total = sum(int(logs[np.searchsorted(distinct, g)].sum()) for g in grams(text))
-            perplexity[i] = float(np.exp(total / STEPS / (len(text) + 1)))
-    return pa.table({"doc_id": ids, "model": names, "perplexity": pa.array(perplexity, pa.float64())})
-
+            total = n = 0
+            for x, y in pairs(text, model):
+                total += float(logs[np.searchsorted(h, pair_hash(x, y))].sum())
+                n += len(x)
+            perplexity[i] = float(np.exp(total / n))
+    return pa.table({"doc_id": docs.column("doc_id"), "model": docs.column("model"), "perplexity": pa.array(perplexity, pa.float64())})
 
-def entries(top: DataFrame) -> DataFrame:
-    """``(key, n)`` of all grams of ORDER -> ``(key, entry)`` of the interpolated model, in steps below zero.
 
-    A lower order counts in how many left contexts an n-gram is found. Entries are the probability of an n-gram's last
-    byte given those before, and of each context the weight of the next lower order.
-    """
-    level = top.select(F.shiftright("key", GRAM_BITS + 4).alias("model"), F.col("key").bitwiseAND((1 << GRAM_BITS) - 1).alias("u"), "n")
-    levels = {ORDER: level}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = cut(levels[k + 1].groupBy("model", F.col("u").bitwiseAND((1 << 8 * k) - 1).alias("u")).agg(F.count("*").alias("n")))
-    out, lower = [], None
-    for k in range(1, ORDER + 1):
-        n = [F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]
-        met = levels[k].groupBy("model").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))  # at most LANGUAGES + 1 rows
-
-        def bounded(i: int, y):
-            d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.expr(f"nullif(n{i}, 0)")
-            return F.greatest(F.lit(0.1), F.least(F.coalesce(d, F.lit(i / 2)), F.lit(0.9 * i))).alias(f"d{i}")
-
-        met = met.withColumn("y", F.coalesce(F.expr("n1 / nullif(n1 + 2D * n2, 0)"), F.lit(0.5))).select("model", *(bounded(i, F.col("y")) for i in (1, 2, 3)))
-        rows = levels[k].join(F.broadcast(met), "model").select("model", "u", "n", F.shiftright("u", 8).alias("ctx"), F.expr("case n when 1 then d1 when 2 then d2 else d3 end").alias("less"))
-        ctx = rows.groupBy("model", "ctx").agg(F.sum("n").alias("total"), F.sum("less").alias("spare"))
-        tag = lambda t, u: F.shiftleft(F.col("model"), GRAM_BITS + 4).bitwiseOR(F.lit(t << GRAM_BITS)).bitwiseOR(F.col(u))
-        step = lambda p: F.round(-F.log(p) * STEPS).cast("long")
-        out.append(ctx.select(tag(CONTEXT + k - 1, "ctx").alias("key"), step(F.expr("spare / total")).alias("entry")))
-        rows = rows.join(ctx.hint("merge"), ["model", "ctx"]).select("model", "u", F.expr("(n - less) / total").alias("own"), F.expr("spare / total").alias("back"))
-        if lower is None:
-            rows = rows.select("model", "u", (F.col("own") + F.col("back") / 256).alias("p"))
-        else:
-            low = lower.select(F.col("model"), F.col("u").alias("suffix"), F.col("p").alias("low"))
-            rows = rows.withColumn("suffix", F.col("u").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(low.hint("merge"), ["model", "suffix"]).select("model", "u", F.expr("own + back * low").alias("p"))
-        rows = cut(rows)
-        out.append(rows.select(tag(k, "u").alias("key"), step(F.col("p")).alias("entry")))
-        lower = rows
-    all_rows = out[0]
-    for x in out[1:]:
-        all_rows = all_rows.unionByName(x)
-    return all_rows
-
-
-def _prime(n: int) -> int:
-    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, block: int = BLOCK) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """One row per document: ``doc_id, model, perplexity, kept``.
 
     Trusted documents have a label ``quality`` 1. The model is the document's language; null languages and those with
-    fewer than LEAST trusted documents share the model ``*``, trained on their trusted texts. Null and empty texts are
-    scored as the end of text alone. Where a model has no trusted text, perplexities are null; without held-out trusted
-    text of a model all its documents are kept. Repeated rows stay repeated and other columns are ignored. An empty
-    table gives an empty result.
+    fewer than ``least`` trusted documents share the model ``*``, trained on their trusted texts, and its threshold.
+    Null and empty texts are scored as the end of text alone. Texts may have any length: they are split in chunks.
+    Where a model has no trusted text, perplexities are null; without held-out trusted text of a model all its
+    documents are kept. A document at the threshold is kept. Repeated rows stay repeated and other columns are ignored.
+    An empty table gives an empty result. The driver sees the languages with ``least`` trusted documents, and six
+    numbers of each order of their models.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -295,27 +363,35 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(OTHER)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     held = share(F.col("doc_id"), 13) < HELD
     trusted = rows.select("doc_id", "lang").where(~held).join(good.where(~held).hint("merge"), "doc_id", "left_semi")  # labels grow with the documents
-    sizes = trusted.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= LEAST).where(F.col("lang") != OTHER)
-    own = [OTHER, *sorted(r["lang"] for r in sizes.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect())]
+    sizes = trusted.groupBy("lang").agg(F.count("*").alias("docs")).where(F.col("docs") >= least).where(F.col("lang") != OTHER)
+    own = [OTHER, *sorted(r["lang"] for r in sizes.collect())]
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, -(-total // block))
-    shards, ways = _prime(min(SHARDS, blocks)), -(-blocks // BLOCKS)
+    blocks = shards = max(spark.sparkContext.defaultParallelism, -(-total // block))
 
     at = lambda x: F.pmod(x, F.lit(blocks)).cast("long").alias("block")
     model = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(own) for x in (name, i))), F.col("lang")), F.lit(0)).cast("long").alias("model")
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     texts = rows.select("doc_id", model, "text", at(spread)).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
     labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
-    packed, drop = stored(texts.cogroup(labelled).applyInArrow(lambda docs, good: _gather(docs, good, shards), "block long, shard long, model long, keys binary, counts binary"))
-    release(spark)  # the texts' blocks are made again for the scores: kept meanwhile, they would double the disk in use
-    known = entries(cut(packed.where("counts is not null").groupBy("shard").applyInArrow(_sums, "key long, n long")))
-    known = known.select("key", "entry", F.pmod(F.col("key").bitwiseAND(~(CONTEXT << GRAM_BITS)), F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {ways - 1}L)")).alias("way"))
-    asked = packed.where("counts is null").withColumn("way", F.pmod("block", F.lit(ways)))
-    answers = cut(asked.groupBy("shard", "way").cogroup(known.groupBy("shard", "way")).applyInArrow(_answers, "block long, shard long, model long, entries binary"))
-    drop()
-    del packed, known, asked  # the model's tables go with what refers to them, before the texts move again
+
+    counts = texts.cogroup(labelled).applyInArrow(lambda docs, good: _count_block(docs, good, shards), SCHEMA)
+    pairs_summed, drop_pairs = stored(counts.groupBy("shard").applyInArrow(lambda moved: _sum_counts(moved, shards), WITH_STATS))
+    del counts
+    release(spark)  # a move's files go before the next one starts
+    words_summed, drop_words = stored(pairs_summed.where(F.col("kind") == CONTEXTS).drop(*(c for c, _ in STATS)).groupBy("shard").applyInArrow(_sum_contexts, WITH_STATS))
+    pairs_only = pairs_summed.where(F.col("kind") == COUNTS)
+    met = pairs_only.unionByName(words_summed).groupBy("model", "kind").agg(*(F.sum(c).alias(c) for c, _ in STATS)).collect()
+    orders = {(r["model"], r["kind"]): Discounts(*(r[c] for c, _ in STATS)) for r in met}
+    stats = {m: (orders[m, CONTEXTS], orders[m, COUNTS]) for m, kind in orders if kind == COUNTS}
+
+    asked = texts.applyInArrow(lambda docs: _ask_block(docs, shards), SCHEMA)
+    known = pairs_only.unionByName(words_summed).drop(*(c for c, _ in STATS))
+    in_order = known.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    answers = cut(in_order.mapInArrow(partial(_answered, stats=stats), "block long, shard long, model long, words binary, pairs binary"))
+    drop_pairs(), drop_words()
+    del asked, known, in_order
     release(spark)
-    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _scores(docs, got, shards), "doc_id long, model long, perplexity double"))
+    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _score_block(docs, got, shards), "doc_id long, model long, perplexity double"))
     limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
     name = F.element_at(F.array(*map(F.lit, own)), F.col("model").cast("int") + 1).alias("model")
     return scored.join(F.broadcast(limits), "model", "left").select("doc_id", name, "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))

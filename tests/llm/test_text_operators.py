@@ -116,59 +116,71 @@ def test_communication_matrix_has_hypergeometric_rows():
     assert sharding.hypergeometric(np.random.default_rng(2), 10**12, 10**12, 10**6) in range(495_000, 505_000)
 
 
-def plain_kneser_ney(texts: list[bytes]):
-    """P(byte | the bytes before) of the interpolated modified model, straight from its definition."""
-    top = Counter(t[i : i + ngrams.ORDER] for t in (ngrams.START + t + ngrams.END for t in texts) for i in range(len(t) - ngrams.ORDER + 1))
-    levels = {ngrams.ORDER: top}
-    for k in range(ngrams.ORDER - 1, 0, -1):
-        levels[k] = Counter(u[1:] for u in levels[k + 1])
-    less, total, spare = {}, {}, {}
-    for k, level in levels.items():
+def plain_kneser_ney(texts: list[str]):
+    """P(word | the word before) of the interpolated modified model, straight from its definition."""
+    two = Counter(p for t in texts for w in [["<", *t.split(), ">"]] for p in zip(w, w[1:]))
+    one = Counter(b for _, b in two)
+
+    def discounts(level):
         n = Counter(level.values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
         d = [max(0.1, min(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2, 0.9 * i)) for i in (1, 2, 3)]
-        less[k] = lambda c, d=d: d[min(c, 3) - 1] if c else 0
-        total[k], spare[k] = Counter(), Counter()
-        for u, c in level.items():
-            total[k][u[:-1]] += c
-            spare[k][u[:-1]] += less[k](c)
+        return lambda c: d[min(c, 3) - 1] if c else 0
+
+    less2, less1 = discounts(two), discounts(one)
+    total, spare = Counter(), Counter()
+    for (a, _), c in two.items():
+        total[a] += c
+        spare[a] += less2(c)
 
-    def p(u: bytes) -> float:
-        if not u:
-            return 1 / 256
-        k, c = len(u), levels[len(u)][u]
-        return (c - less[k](c)) / total[k][u[:-1]] + spare[k][u[:-1]] / total[k][u[:-1]] * p(u[1:]) if total[k][u[:-1]] else p(u[1:])
+    def p(a: str, b: str) -> float:
+        low = (one[b] - less1(one[b])) / len(two) + sum(map(less1, one.values())) / len(two) / (len(one) + 1)
+        return (two[a, b] - less2(two[a, b])) / total[a] + spare[a] / total[a] * low if total[a] else low
 
-    return p
+    return p, one
 
 
-@pytest.mark.parametrize("block", [ngrams.BLOCK, 700])
-def test_perplexities_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,chunk,held", [(ngrams.BLOCK, ngrams.CHUNK, ngrams.PAIRS), (700, 9, 50)])
+def test_perplexities_match_brute_force(spark, monkeypatch, block, chunk, held):
     monkeypatch.setattr(ngrams, "HELD", 0.0)
-    monkeypatch.setattr(ngrams, "BLOCKS", 3)
+    monkeypatch.setattr(ngrams, "CHUNK", chunk)
+    monkeypatch.setattr(ngrams, "PAIRS", held)
     r = random.Random(9)
-    data = [(i, edge.words(r, 12) + " é漢"[: i % 4], ("en", "de")[i % 5 > 3], "s", 1) for i in range(200)] + [(900, "", "en", "s", 0), (901, "q#" * 900, "xx", "s", 1), (902, None, None, "s", 1)]
+    vocabulary = edge.words(r, 60).split()
+    text = lambda: " ".join(r.choice(vocabulary) if r.random() < 0.8 else edge.words(r, 1) for _ in range(12))
+    data = [(i, text() + " \t\né 漢"[: i % 6], ("en", "de")[i % 5 > 3], "s", 1) for i in range(200)] + [(900, "", "en", "s", 0), (901, "q# " * 900, "xx", "s", 1), (902, None, None, "s", 1)]
     good = set(range(0, 200, 2)) | {902}
     d = spark.createDataFrame(data, edge.COLUMNS)
     got = {x["doc_id"]: x for x in ngrams.quality(d, spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int"), block=block).collect()}
     name = lambda x: x[2] if x[2] == "en" else "*"
-    models = {m: plain_kneser_ney([(x[1] or "").encode() for x in data if x[0] in good and name(x) == m]) for m in ("en", "*")}
+    models = {m: plain_kneser_ney([x[1] or "" for x in data if x[0] in good and name(x) == m]) for m in ("en", "*")}
     assert len(got) == len(data)
     for x in data:
-        t = ngrams.START + (x[1] or "").encode() + ngrams.END
-        logs = [np.log(models[name(x)](t[i : i + ngrams.ORDER])) for i in range(len(t) - ngrams.ORDER + 1)]
-        assert got[x[0]]["model"] == name(x) and abs(np.log(got[x[0]]["perplexity"]) + np.mean(logs)) < (ngrams.ORDER + 1) / ngrams.STEPS
-    p = models["en"]
-    assert all(abs(sum(p(c + bytes([b])) for b in range(256)) - 1) < 1e-9 for c in (ngrams.START, b"abc ", b"zzzz", b"a"))
+        w = ["<", *(x[1] or "").split(), ">"]
+        logs = [np.log(models[name(x)][0](a, b)) for a, b in zip(w, w[1:])]
+        assert got[x[0]]["model"] == name(x) and abs(np.log(got[x[0]]["perplexity"]) + np.mean(logs)) < 3 / ngrams.STEPS
+    p, one = models["en"]
+    assert all(abs(sum(p(a, b) for b in one) + p(a, "none") - 1) < 1e-9 for a in ("<", "none", vocabulary[0]))
 
 
-def test_grams_are_counted_alike_in_chunks(monkeypatch):
+def test_pairs_are_counted_alike_in_chunks(monkeypatch):
     r = random.Random(4)
-    texts = [edge.words(r, n).encode() for n in (0, 1, 30, 900)]
-    whole = ngrams.counted(iter(texts))
+    texts = [edge.words(r, n).encode() for n in (0, 1, 30, 900)] + [b" \t ", b"x" * 500 + b"  y\x0b z"]
+    whole = ngrams.counted(iter(texts), 3)
     monkeypatch.setattr(ngrams, "CHUNK", 7)
-    assert all((a == b).all() for a, b in zip(whole, ngrams.counted(iter(texts)))) and whole[1].sum() == sum(len(t) + 1 for t in texts)
-    assert (ngrams._unpack_keys(ngrams._pack_keys(whole[0])) == whole[0]).all()
+    monkeypatch.setattr(ngrams, "PAIRS", 5)
+    assert all((a == b).all() for a, b in zip(whole, ngrams.counted(iter(texts), 3))) and whole[3].sum() == sum(len(t.split()) + 1 for t in texts)
+    keys = np.sort(whole[0] >> ngrams.UNSENT)
+    assert (ngrams._unpack_keys(ngrams._pack_keys(keys)) == keys).all()
+
+
+def test_what_the_model_gathers_grows_with_the_text():
+    sizes = []
+    for sf in ("0.01", "0.1"):
+        texts = duckdb.sql(f"select coalesce(text, '') from '/root/testdata/sf{sf}/documents.parquet'").fetchall()
+        sizes.append((sum(len(t) for (t,) in texts), len(ngrams.counted((t.encode() for (t,) in texts), 0)[0])))
+    (small, few), (large, many) = sizes
+    assert many / few > 0.7 * large / small
 
 
 def test_junk_is_dropped(spark):
