@@ -13,7 +13,7 @@ import html as _html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
@@ -32,8 +32,11 @@ RAW = "script|style|noscript|iframe|textarea|title|template"
 #: What an opening tag closes, if it is open within the given scope.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table td th body article section div main aside nav header footer form blockquote".split())
+LIMITS = SCOPES - {"td", "th"}  # of what an opening tag closes
 # --------------------------------------------------------------------------------------------------------------------
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+#: Attributes: a quote without a partner in the rest of the page is a character like others. No part is tried twice.
+REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|\"(?![^\"]*+\")|'(?![^']*+'))*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{REST}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({REST})(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -62,18 +65,57 @@ def _words(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Open:
+    """The path of open elements. What is open is known by name, so that no search goes up the path in vain."""
+
+    def __init__(self, root: Node):
+        self.node = root
+        self.all: Counter = Counter()
+        self.inner: list[Counter] = [Counter()]  # since each scope on the path, the scope's own name first
+
+    def push(self, node: Node) -> None:
+        self.node = node
+        self.all[node.tag] += 1
+        if node.tag in LIMITS:
+            self.inner.append(Counter())
+        self.inner[-1][node.tag] += 1
+
+    def pop(self) -> str:
+        tag = self.node.tag
+        self.all[tag] -= 1
+        self.inner[-1][tag] -= 1
+        if tag in LIMITS:
+            self.inner.pop()
+        self.node = self.node.parent
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Up to the parent of the nearest element of that name, if there is one."""
+        if self.all[tag]:
+            while self.pop() != tag:
+                pass
+
+    def close_before(self, tags: tuple[str, ...]) -> None:
+        """Within the scope, the nearest element of one of the names and those right above it that have one too."""
+        if any(self.inner[-1][t] for t in tags):
+            while self.node.tag not in tags:
+                self.pop()
+            while self.node.tag in tags:
+                self.pop()
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; each run of text is a leaf ``#t`` with its text and the characters of it in links."""
-    root = node = Node("#root", (), None)
-    inline: list[str] = []
+    root = Node("#root", (), None)
+    path = Open(root)
     run: list[str] = []
-    linked, at = 0, 0
+    linked = at = links = 0  # links: open ones
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(_html.unescape("".join(run)).split())
         if text:
-            leaf = Node("#t", (), node)
+            leaf = Node("#t", (), path.node)
             leaf.text, leaf.chars, leaf.linked = text, len(text), min(linked, len(text))
         run.clear()
         linked = 0
@@ -81,7 +123,7 @@ def parse(page: str) -> Node:
     def say(s: str) -> None:
         nonlocal linked
         run.append(s)
-        if "a" in inline:
+        if links:
             linked += len(s)
 
     for m in TOKEN.finditer(page):
@@ -93,39 +135,26 @@ def parse(page: str) -> Node:
             continue  # comments, declarations, raw text
         tag, closing = name.lower(), bool(m[2])
         if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                if tag == "br":
-                    run.append(" ")
-            elif not closing:
-                inline.append(tag)
-            elif tag in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(tag)]
+            if tag == "br":
+                run.append(" ")
+            elif tag == "a":
+                links = max(0, links - 1) if closing else links + 1
             continue
         flush()
-        inline = [t for t in inline if t == "a"] if tag not in ("p", "div") else inline
         if closing:
-            x = node
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                node = x.parent
-            if tag == "a" or tag in SCOPES:
-                inline.clear()
+            path.close(tag)
+            if tag in SCOPES:
+                links = 0
             continue
         if tag in VOID:
             continue
-        if node.tag == "p":
-            node = node.parent
+        if path.node.tag == "p":
+            path.pop()
         if tag in CLOSES:
-            x = node
-            while x.parent and x.tag not in SCOPES - {"td", "th"} and x.tag not in CLOSES[tag]:
-                x = x.parent
-            while x.parent and x.tag in CLOSES[tag]:
-                x = x.parent
-                node = x
-        made = Node(tag, _words(m[4]), node)
+            path.close_before(CLOSES[tag])
+        made = Node(tag, _words(m[4]), path.node)
         if not m[4].rstrip().endswith("/"):
-            node = made
+            path.push(made)
     if at < len(page):
         say(page[at:])
     flush()
@@ -214,8 +243,9 @@ def train(labelled: Iterable[tuple[str, list[bool]]], rounds: int = 25, rate: fl
     """Labelled pages: html and, for each run of text in page order, whether it is content.
 
     An element is content if most of the characters of its text are, or half of the page's content is in it. Pair
-    potentials are log odds of the counted pairs; weights are fitted so that each node's odds given its neighbours'
-    labels are right (pseudo-likelihood).
+    potentials are logs of the counted shares of labels given the parent's. Weights are fitted so that a node's features
+    and the share of its kind give the odds of its label; the features' part is the log likelihood ratio of what is
+    seen of the node alone. So the messages of any number of children add up without a drift.
     """
     trees, count = [], defaultdict(lambda: np.ones((2, 2)))
     for page, truth in labelled:
@@ -240,17 +270,14 @@ def train(labelled: Iterable[tuple[str, list[bool]]], rounds: int = 25, rate: fl
         pairs[kind] = np.log(p).tolist()
     names: dict[str, int] = {}
     rows, fixed, y = [], [], []
+    share = defaultdict(lambda: np.ones(2))
+    for nodes, label in trees:
+        for x in nodes:
+            share[x.tag][label[id(x)]] += 1
     for nodes, label in trees:
         for x in nodes:
             rows.append([names.setdefault(f, len(names)) for f in features(x)])
-            z = 0.0
-            if x.parent:
-                p = pairs.get(x.tag, pairs["*"])[label[id(x.parent)]]
-                z += p[1] - p[0]
-            for k in x.kids:
-                p = pairs.get(k.tag, pairs["*"])
-                z += p[1][label[id(k)]] - p[0][label[id(k)]]
-            fixed.append(z)
+            fixed.append(math.log(share[x.tag][1] / share[x.tag][0]))
             y.append(label[id(x)])
     flat = np.array([i for r in rows for i in r])
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -421,7 +448,9 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars`` (code points).
 
     Null and empty html, and pages without content, have an empty text. Broken and cut-off markup is read as far as it
-    goes. Repeated rows stay repeated and other columns are ignored. An empty table gives an empty result.
+    goes. Pages may have any length and depth: the time is in proportion to the page, and a worker holds one page's
+    tree at a time. A run of text at a marginal of one half is kept. Repeated rows stay repeated, null ids stay, and
+    other columns are ignored. An empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

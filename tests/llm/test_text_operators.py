@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -200,7 +202,7 @@ def test_held_out_pages_are_told_apart():
         pages.measure(nodes)
         got = [p >= 0.5 for x, p in zip(nodes, model.marginals(nodes)) if x.text is not None]
         right, total = right + sum(a == b for a, b in zip(got, truth)), total + len(truth)
-    assert right / total > 0.94
+    assert right / total > 0.985
 
 
 def test_marginals_are_exact_on_a_small_tree():
@@ -228,10 +230,65 @@ def test_awkward_pages(spark):
     assert pages.main_text(d.where("false")).count() == 0
 
 
+def plain_article(page: str) -> str:
+    """The blocks between ``<article>`` and its end, for pages whose markup is well formed."""
+    inside = page.split("<article>")[1].split("</article>")[0]
+    blocks = [" ".join(pages._html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h\d|ul|ol|li|div|section|blockquote|pre|table|tr|td|th)\b[^>]*>", inside)]
+    return "\n".join(x for x in blocks if x)
+
+
 def test_pages_of_the_table_give_their_articles(spark):
-    for r in queries.op4_html(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/pages.parquet").drop("url"), "page_id").collect():
-        inside = r["html"].split("<article>")[1].split("</article>")[0]
-        assert r["text"].split("\n")[0] in pages._html.unescape(inside) and r["n_chars"] == len(r["text"])
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = pages.main_text(table).join(table.drop("url"), "page_id").collect()
+    assert len(got) == table.count() > 100
+    for r in got:
+        assert r["text"] == plain_article(r["html"]) and r["n_chars"] == len(r["text"])
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article><h1>T</h1>" + "".join(f"<p>Sentence number {i} of a very long text, which goes on.</p>" for i in range(40_000)) + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (2, "u", "<article><p>One text, twice.</p></article>"), (2, "u", "<article><p>One text, twice.</p></article>")]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))).collect()
+    assert len(got) == 4 and got[0]["text"].count("\n") == 40_000
+    assert got[0]["n_chars"] == len(got[0]["text"]) > 2_000_000
+    assert Counter(r["text"] for r in got) == Counter([pages.extract(long, pages.default_model())] * 2 + ["One text, twice."] * 2)
+
+
+@pytest.mark.parametrize("part", ["<b>", "</div>", "<div>", "<a href='x'>y", '<a "', "<p '", "<li><div>", "<ul><li>x", "<td><b>", "<script ", "<!--", "</b>z"])
+def test_parsing_takes_time_in_proportion(part):
+    page = part * 60_000
+    start = time.process_time()
+    pages.parse(page)
+    assert time.process_time() - start < 6
+
+
+def test_open_elements_close_as_a_search_up_the_path_says():
+    r = random.Random(11)
+    tags = "div p li ul ol td tr table th dt dd dl option section tbody".split()
+
+    def plain(page: str):
+        root = node = pages.Node("#root", (), None)
+        for m in pages.TOKEN.finditer(page):
+            tag, x = m[3].lower(), node
+            if m[2]:
+                while x.parent and x.tag != tag:
+                    x = x.parent
+                node = x.parent or node
+                continue
+            if node.tag == "p":
+                node = node.parent
+            if tag in pages.CLOSES:
+                x = node
+                while x.parent and x.tag not in pages.LIMITS and x.tag not in pages.CLOSES[tag]:
+                    x = x.parent
+                while x.parent and x.tag in pages.CLOSES[tag]:
+                    x = node = x.parent
+            node = pages.Node(tag, (), node)
+        return [(x.tag, x.depth) for x in pages.nodes_of(root)]
+
+    for _ in range(400):
+        page = "".join(f"<{'/' * (r.random() < 0.3)}{r.choice(tags)}>" for _ in range(40))
+        assert [(x.tag, x.depth) for x in pages.nodes_of(pages.parse(page))] == plain(page)
 
 
 def test_fingerprints_of_copies_and_edits(docs, rows):
