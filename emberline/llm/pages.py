@@ -408,6 +408,8 @@ class Grammar:
 
     def page(self) -> tuple[str, list[bool]]:
         r = self.r
+        if r.random() < 0.08:
+            return self.content()  # a fragment
         before = [k for k, p in (("notice", 0.35), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15), ("aside", 0.15)) if r.random() < p]
         after = [k for k, p in (("share", 0.2), ("ad", 0.25), ("comments", 0.4), ("aside", 0.35), ("form", 0.2), ("nav", 0.15), ("notice", 0.15), ("footer", 0.75)) if r.random() < p]
         r.shuffle(before)

@@ -4,6 +4,8 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import comb, exp, log
 
 import duckdb
 import numpy as np
@@ -118,6 +120,42 @@ def test_communication_matrix_has_hypergeometric_rows():
     assert sharding.hypergeometric(np.random.default_rng(2), 10**12, 10**12, 10**6) in range(495_000, 505_000)
 
 
+def test_hypergeometric_probabilities_are_exact_at_any_size():
+    for good, bad, drawn in ((5, 7, 6), (1, 1, 1), (300, 20, 310), (40, 4000, 100), (10**6, 10**5, 777), (10**11, 15 * 10**11, 10**5), (10**15, 10**15, 10**6), (10**6, 10**12, 10**9)):
+        lo, hi = max(0, drawn - bad), min(drawn, good)
+        mode = (drawn + 1) * (good + 1) // (good + bad + 2)
+        for k in {lo, hi, mode, max(lo, mode - 3), min(hi, mode + 5)}:
+            # a sum of logarithms of exact ratios, from whichever end has less terms
+            small = min(drawn, 2000)
+            if drawn > small or k < 0:
+                continue
+            want = Fraction(comb(good, k) * comb(bad, drawn - k), comb(good + bad, drawn))
+            assert abs(sharding.log_probability(k, good, bad, drawn) - (log(want.numerator) - log(want.denominator))) < 1e-9, (k, good, bad, drawn)
+    for good, bad, drawn in ((10**11, 15 * 10**11, 10**5), (10**15, 10**15, 10**6), (10**6, 10**12, 10**9)):
+        mode = (drawn + 1) * (good + 1) // (good + bad + 2)
+        width = 12 * int((drawn * good / (good + bad)) ** 0.5) + 60
+        k = np.arange(max(0, mode - width), min(drawn, good, mode + width) + 1)
+        total = sum(exp(sharding.log_probability(int(x), good, bad, drawn)) for x in k)
+        assert abs(total - 1) < 1e-7, (good, bad, drawn, total)
+
+
+def test_shuffle_is_uniform(spark):
+    """Every row is as likely in every place, whatever its source, and neighbours are no likelier to stay together."""
+    n, runs = 24, 40
+    d = spark.createDataFrame([(i, "x" * i) for i in range(n)], "doc_id long, text string").cache()
+    where, together = np.zeros((n, n)), 0
+    for seed in range(runs):
+        got = sharding.shard(d, 4, seed).select("doc_id", "shard", "slot").collect()
+        place = {r["doc_id"]: r["shard"] * 6 + r["slot"] for r in got}
+        together += sum(abs(place[i] - place[i + 1]) == 1 for i in range(n - 1))
+        for i, p in place.items():
+            where[i, p] += 1
+    chi = ((where - runs / n) ** 2 / (runs / n)).sum()
+    assert abs(chi - (n - 1) ** 2) < 4 * (2 * (n - 1) ** 2) ** 0.5  # degrees of freedom
+    mean = runs * (n - 1) * 2 / n
+    assert abs(together - mean) < 4 * mean**0.5
+
+
 def plain_kneser_ney(texts: list[str]):
     """P(word | the word before) of the interpolated modified model, straight from its definition."""
     two = Counter(p for t in texts for w in [["<", *t.split(), ">"]] for p in zip(w, w[1:]))
