@@ -21,9 +21,10 @@ BAND = (0.01, 0.3)
 #: (number of subsets, each of one out of so many lexicon parts); the first level deals out the whole lexicon.
 LEVELS = ((32, 32), (16, 128), (16, 512))
 WORDS = r"[^\p{L}\p{N}]+"
-#: Bytes of text that one task puts in order, about, and ranges of doc_id of equal numbers of rows.
+#: Bytes of text that one task puts in order, about, ranges of doc_id of equal numbers of rows, and tasks at most: beyond,
+#: each has more.
 TASK_BYTES = 24 << 20
-RANGES = 128
+RANGES, TASKS = 128, 1 << 20
 
 
 def hashes(text: Column) -> Column:
@@ -99,36 +100,49 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
-def _ranges(docs: DataFrame) -> tuple[int, list[int], int]:
-    """Number of documents, ends of ranges of doc_id with about equal numbers of rows, parts of each range."""
-    at = [i / RANGES for i in range(RANGES + 1)]
-    n, size, ends = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", at, 10_000)).first()
-    return n, sorted(set(ends or [0])), max(1, -(-(size or 0) // TASK_BYTES // RANGES))
+class Buckets:
+    """Tasks of rows in order of (doc_id, hash of the text), rising with both; the null id is below all.
 
+    A doc_id that spans several of the equal ranges is dealt out by the hash, as the null id is.
+    """
 
-def _bucket(ends: list[int], parts: int) -> Column:
-    """Task of a doc_id, rising with it; the null id is below all."""
-    lows, widths = F.array(*map(F.lit, ends)), F.array(*(F.lit(max(1, -(-(b - a) // parts))) for a, b in zip(ends, [*ends[1:], ends[-1] + 1])))
-    at = F.greatest(F.size(F.filter(lows, lambda e: e <= F.col("doc_id"))) - 1, F.lit(0))
-    inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - F.get(lows, at)) / F.get(widths, at))))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * parts + inside).cast("int")
+    def __init__(self, docs: DataFrame):
+        at = [i / RANGES for i in range(RANGES + 1)]
+        self.rows, size, nulls, ends = docs.agg(F.count("*"), F.sum(F.octet_length("text").cast("long")), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", at, 10_000)).first()
+        parts = max(1, min(TASKS, -(-(size or 0) // TASK_BYTES)) // RANGES)
+        self.parts, self.ends = parts, sorted(set(ends or [0]))
+        self.hot = [parts * ((ends or [0]).count(e) - 1) for e in self.ends]
+        self.none = max(1, RANGES * parts * nulls // max(1, self.rows))
+        self.first = [sum(self.hot[:i]) + parts * i for i in range(len(self.ends))]
+        self.tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))
+
+    def of(self, hash_: Column) -> Column:
+        place = (F.shiftrightunsigned(hash_.bitwiseXOR(F.lit(-(1 << 63))), 1) / F.lit(2.0**63)).cast("double")  # 0 to 1
+        lows, hot = F.array(*map(F.lit, self.ends)), F.array(*map(F.lit, self.hot))
+        widths = F.array(*(F.lit(max(1, -(-(b - a) // self.parts))) for a, b in zip(self.ends, [*self.ends[1:], self.ends[-1] + 1])))
+        at = F.greatest(F.size(F.filter(lows, lambda e: e <= F.col("doc_id"))) - 1, F.lit(0))
+        far = F.col("doc_id") - F.get(lows, at)
+        inside = F.get(hot, at) + F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), F.floor(far / F.get(widths, at))))
+        among = lambda n: F.least(n - 1, F.floor(place * n))
+        inside = F.when((far == 0) & (F.get(hot, at) > 0), among(F.get(hot, at))).otherwise(inside)
+        return F.when(F.col("doc_id").isNull(), among(F.lit(self.none)) - self.none).otherwise(F.get(F.array(*map(F.lit, self.first)), at) + inside).cast("int")
 
 
 def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows ``(bucket, doc_id, text, guard)`` and the number of documents.
+    """Rows ``(bucket, doc_id, text, hash, guard)`` and the number of documents.
 
-    In each bucket the rows that follow its last one, by falling doc_id, are there as guards, so that whole order is
-    the buckets' own. After the least doc_id comes the largest; null ids are the least; equal ids are in order of
-    their texts' hashes.
+    In each bucket the row that follows its last one, by falling doc_id, is there as a guard, so that whole order is
+    the buckets' own. After the least doc_id comes the largest; null ids are the least; equal ids are in falling order
+    of their texts' hashes.
     """
-    n, ends, parts = _ranges(docs)
-    rows = docs.select("doc_id", text_or_empty().alias("text"), _bucket(ends, parts).alias("bucket"), F.lit(False).alias("guard"))
-    heads = cut(rows.groupBy("bucket").agg(F.max("doc_id").alias("head")))  # one row for each task
+    buckets = Buckets(docs)
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("hash"), F.lit(False).alias("guard")).withColumn("bucket", buckets.of(F.col("hash")))
+    heads = cut(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "hash")).alias("head")))  # one row for each task
     order = Window.orderBy(F.desc("bucket"))
-    first = Window.partitionBy()
-    of = heads.select(F.col("head"), F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(first)).alias("before"))
-    guards = rows.join(F.broadcast(of), rows["doc_id"].eqNullSafe(of["head"]) & (rows["bucket"] == of["own"])).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("guard"))
-    return rows.unionByName(guards), n
+    of = heads.select(F.col("head"), F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("before"))
+    follows = rows["doc_id"].eqNullSafe(of["head.doc_id"]) & (rows["hash"] == of["head.hash"]) & (rows["bucket"] == of["own"])
+    guards = rows.join(F.broadcast(of), follows).select("doc_id", "text", "hash", F.lit(True).alias("guard"), F.col("before").alias("bucket"))  # at most about TASKS rows
+    return rows.unionByName(guards).repartition(buckets.tasks, "bucket"), buckets.rows
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -137,12 +151,13 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     The edited text is the text with its last third replaced by the start of the next document, by falling doc_id.
     Null texts count as empty. Texts without a kept term have the hash of all their terms and no subset; empty texts
     are alike. Equal texts have equal fingerprints. A single document is its own next. Repeated rows count as
-    documents of their own; other columns are ignored; an empty table gives an empty result.
+    documents of their own, next to each other. Of a text all terms count, however long it is; a text moves once. Other
+    columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, n = neighbours(docs)
     kept = lexicon(docs, n, band)
-    order = Window.partitionBy("bucket").orderBy("guard", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy("guard", F.desc_nulls_last("doc_id"), F.desc("hash"))
     rows = with_fingerprint(rows, "text", "fp", kept)
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("guard"))
     length = F.char_length("text")

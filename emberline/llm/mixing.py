@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from emberline.llm.common import WORD, cut, text_or_empty
 
 WEIGHTS = (5, 2, 1)
-#: Key buckets of a source: a hot source is sorted in so many tasks.
-BUCKETS = 256
+#: Rows of a key bucket, about: a source is sorted in so many tasks as it has times that.
+ROWS = 20_000
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -52,20 +52,26 @@ def _before(rows: DataFrame, order: list) -> DataFrame:
     return rows.join(part, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("before", F.col("before") + F.col("head")).drop("s", "b", "head")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, total_share: float = 1.5, most: float = 2.0, seed: int = 9, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, total_share: float = 1.5, most: float = 2.0, seed: int = 9, rows_each: int = ROWS) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken`` (words; ``source`` follows).
 
     ``weights`` has one ``weight`` > 0 per doc_id; documents without one weigh 0.5. Sources without a word have target
     0. Null texts have no words, null sources are one source, the last. Equal keys are ordered by doc_id and size;
-    repeated rows count as documents of their own. An empty table gives an empty result.
+    repeated rows count as documents of their own, and of rows alike in both which is taken isn't defined. Texts may
+    have any length; they don't move. Other columns are ignored. An empty table gives an empty result. Targets are made
+    in one task, of one row for each source.
     """
     rows = docs.select("doc_id", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), "source")
     rows = rows.join(weights.withColumnRenamed("doc_id", "weighted"), F.col("doc_id") == F.col("weighted"), "left").drop("weighted") if weights is not None else rows.withColumn("weight", F.lit(None).cast("double"))
     digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double")
     rows = rows.withColumn("key", -F.log((digits + 0.5) / float(1 << 48)) / F.coalesce("weight", F.lit(0.5)))
-    rows = cut(rows.withColumn("bucket", F.floor(F.lit(buckets) * (1 - F.exp(-F.col("key") / 2))).cast("int")).drop("weight"))
+    rows = cut(rows.drop("weight"))
+    sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).withColumnRenamed("source", "of_source"))
+    parts = F.ceil(F.col("rows") / F.lit(rows_each))
+    bucket = F.floor(parts * (1 - F.exp(-F.col("key") / 2))).cast("int").alias("bucket")
+    rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "source", "key", bucket)
     order = ["key", "doc_id", "size"]
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), total_share, most)
+    goal = targets(sizes.select(F.col("of_source").alias("source"), "source_size"), total_share, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = cut(goal.withColumnRenamed("source", "of_source"))
     of = F.col("source").eqNullSafe(F.col("of_source"))

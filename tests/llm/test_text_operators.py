@@ -10,6 +10,7 @@ from math import comb, exp, log
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -360,6 +361,80 @@ def test_lexicon_has_the_terms_of_the_band_and_no_others(spark):
     assert len(rows) > 100_000 and 50 < len(band) and {x["text"] for x in rows if x["kept"]} == band
 
 
+def java_hash(value, seed=42):
+    """XXH64 of a long as 8 bytes, or of a string's bytes, as a signed number."""
+    data = value.to_bytes(8, "little", signed=True) if isinstance(value, int) else value.encode()
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fingerprints(rows: list[tuple[int, str]], band=imatch.BAND):
+    """doc_id -> the result's columns, straight from the definition; ids are distinct."""
+    words = lambda t: [w for w in regex.split(imatch.WORDS, t.lower()) if w]
+    frequency = Counter(w for _, t in rows for w in set(words(t)))
+    kept = {w for w, n in frequency.items() if band[0] * len(rows) <= n <= band[1] * len(rows)}
+
+    def many(hashes, seed=42):
+        for h in hashes:
+            seed = java_hash(h, seed)  # an array's hash is that of each element seeded by the hash so far
+        return seed if hashes else 42
+
+    def of(text):
+        own = sorted({java_hash(w) for w in words(text) if w in kept})
+        every = sorted({java_hash(w) for w in words(text)})
+        out = []
+        for level, (subsets, parts) in enumerate(imatch.LEVELS):
+            # a hash's part of the level: low bits pick one of four first, the bits above the rest
+            step = max(1, subsets // 4)
+            coarse = parts // step
+            for a in range(subsets // step):
+                for b in range(step):
+                    mine = [h for h in own if (h >> (17 + 12 * level)) % coarse == a and (h >> (17 + 12 * level + (coarse - 1).bit_length())) % step == b]
+                    out.append((many(mine) & 0xFFFFFFFE) + 1 if mine else 0)
+        return out, many(own or every)
+
+    def like(x, y):
+        if x[1] == y[1]:
+            return 1.0
+        some = [(p, q) for p, q in zip(x[0], y[0]) if p or q]
+        return sum(p == q for p, q in some) / len(some) if some else 0.0
+
+    text = lambda f: "".join(format(x & 0xFFFFFFFF, "08x") for x in (*f[0], f[1]))
+    order, out = sorted(rows, reverse=True), {}
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text(of(t)), text(of(edited)), like(of(t), of(edited)), like(of(t), of(u)))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    r = random.Random(12)
+    common = edge.words(r, 400).split()
+    texts = [" ".join(r.choice(common) if r.random() < 0.9 else edge.words(r, 1) for _ in range(r.randint(0, 120))) for _ in range(60)]
+    texts += [texts[3], texts[4].upper() + "!", "", "Ünï 漢字 " + texts[5], texts[6] + " " + texts[7], "rare%d" % 1]
+    d = spark.createDataFrame([(3 * i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, fp string").repartition(5)
+    got = {x["doc_id"]: (x["n_chars"], x["edited_sha256"], x["fingerprint"], x["edited_fingerprint"], x["near_edited"], x["near_next"]) for x in imatch.fingerprints(d, (0.05, 0.4)).collect()}
+    want = plain_fingerprints([(3 * i, t) for i, t in enumerate(texts)], (0.05, 0.4))
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:4] == want[i][:4] and abs(got[i][4] - want[i][4]) < 1e-12 and abs(got[i][5] - want[i][5]) < 1e-12, i
+    assert len({w[4] for w in want.values()}) > 10 and any(0 < w[5] < 1 for w in want.values())
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_hot_doc_id_is_dealt_out_and_keeps_its_order(spark, monkeypatch, hot):
+    monkeypatch.setattr(imatch, "TASK_BYTES", 1000)
+    r = random.Random(13)
+    rows = [(hot if i % 3 else i, edge.words(r, 8)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near, n = imatch.neighbours(d)
+    sizes = Counter(x["bucket"] for x in near.where(~F.col("guard")).where(F.col("doc_id").eqNullSafe(hot)).select("bucket").collect())
+    assert n == 300 and len(sizes) > 40 and max(sizes.values()) < 30
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, java_hash(x[1])), reverse=True)
+    want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()) for (i, t), (_, u) in zip(order, order[1:] + order[:1]))
+    assert Counter((x["doc_id"], x["edited_sha256"]) for x in imatch.fingerprints(d).collect()) == want
+
+
 def test_single_document_is_its_own_next(spark):
     r = imatch.fingerprints(spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and r["near_next"] == 1.0
@@ -528,7 +603,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_mix_meets_targets_and_reruns_agree(docs, spark):
     got = mixing.mix(docs, mixing.quality_weights(edge.labels(spark))).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5), mixing.quality_weights(edge.labels(spark)), buckets=3).collect()))
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5), mixing.quality_weights(edge.labels(spark)), rows_each=2).collect()))
     by = defaultdict(list)
     for r in got:
         by[r["source"]].append(r)
