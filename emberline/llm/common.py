@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,24 +35,41 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one, but on this machine alone, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="emberline-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted when it is done, as its rows are kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and keep the rows in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffle_files_go(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """As :func:`cut`, as compressed columns; the second value deletes the rows once nothing reads them any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffle_files_go(spark):
+        df.write.parquet(path)
 
     def drop() -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,14 +78,6 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), drop
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose results have been cut; the JVM sees dropped references a round later."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

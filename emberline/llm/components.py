@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut
+from emberline.llm.common import stored
 
 
 #: Parts that the edges of one node are dealt into where they meet the node's row.
@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``(u, v)`` of one integer type -> ``(node, root)`` with the least node of each component as root.
 
     Nodes without an edge aren't listed. Stars are aggregated before they are joined back; the rounds (about the
-    logarithm of the longest chain) are cut by checkpoints. An empty table gives an empty result.
+    logarithm of the longest chain) are written out, and each deletes what it read. An empty table gives an empty result.
     """
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    edges, drop = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = None
     while True:
-        edges = cut(_stars(_stars(edges, True), False))
+        before = drop
+        edges, drop = stored(_stars(_stars(edges, True), False))
+        before()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

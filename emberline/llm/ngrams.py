@@ -1,35 +1,34 @@
 """Quality by an interpolated modified Kneser-Ney model of word pairs, trained on trusted text.
 
-Nothing has a fixed size: counts, contexts and probabilities are tables sharded by word, which grow with the trusted
-text. A language has a model of its own if it has enough trusted documents.
+Nothing has a fixed size: counts, contexts and probabilities are tables sharded by word and by pair, which grow with the
+trusted text. A language has a model of its own if it has enough trusted documents.
 
 1. Blocks of texts count the pairs of their trusted texts. Shards, by a pair's first word, sum the counts; from the
    distinct pairs they tell the second words' shards in how many left contexts each word is found.
-2. Blocks ask the shards for each distinct word and pair of their texts once. A shard holds its part of the model and
-   answers requests as they stream by: a pair's own discounted share, a word's lower-order probability, and the weight
+2. Shards make the model's entries: a pair's own discounted share, a word's lower-order probability, and the weight
    that a context leaves to the lower order.
-3. Blocks add up the log probabilities of their documents. Perplexities are compared with quantiles of the same model's
-   trusted documents that it wasn't trained on.
+3. Blocks ask the shards for each distinct word and pair of their texts once. A shard holds its part of the entries and
+   answers requests as they stream by; blocks add up the log probabilities of their documents.
+4. Perplexities are compared with quantiles of the same model's trusted documents that it wasn't trained on.
 
-Words are known by 48 bits of a hash, seeded by the model; a pair that the model hasn't is taken for one that it has
+Words are known by 48 bits of a hash that differs by model; a pair that the model hasn't is taken for one that it has
 with a chance of its number of pairs over 2**48. Requests travel as sorted, packed keys, answers in the order asked.
-Texts move into blocks compressed, once for each of the three steps, and nothing of the model is broadcast.
+Texts move into blocks compressed, a part of the blocks at a time, and nothing of the model is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, release, share, small_batches, stored
+from emberline.llm.common import cut, share, small_batches, stored
 
 #: Trusted documents of a language below which it has no model of its own; such languages share one.
 LEAST = 30
@@ -39,42 +38,102 @@ HELD = 0.2
 #: Quantile of a model's held-out trusted perplexities up to which documents are kept.
 QUANTILE = 0.99
 #: Bytes of text in a block, and of a shard's part of all text.
-BLOCK = 16 << 20
-#: Bytes of a text that are split into words at once, and pairs that are held at once.
-CHUNK, PAIRS = 1 << 20, 1 << 21
+BLOCK = 12 << 20
+#: Parts of the blocks, and of the shards, that are done one after another: what moves at once is bounded by it, and texts are read anew.
+ROUNDS = 4
+#: Bytes of texts that are split into words at once.
+CHUNK = 1 << 20
 #: Answers are whole numbers of so many to a unit of the natural logarithm.
 STEPS = 512
-#: Before a text and at its end: no word has a blank.
-START, END = b" <", b" >"
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bits of a hash that aren't sent.
 UNSENT = np.uint64(16)
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A word's hash is a polynomial of its bytes in this number, mixed.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Before a text and at its end: no word's polynomial is mixed with these.
+START, END = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def _word_keys(words: list[bytes], model: int) -> np.ndarray:
-    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=model), words), np.uint64, len(words)) >> UNSENT
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def pairs(text: bytes, model: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of each word and of the one before it, with START and END, in chunks."""
-    before, end = _word_keys([START, END], model)
-    at = 0
-    while at < len(text):
-        stop = BLANK.search(text, at + CHUNK)
-        stop = stop.start() if stop else len(text)
-        k = _word_keys(text[at:stop].split(), model)
-        if len(k):
-            yield np.r_[before, k[:-1]], k
-            before = k[-1]
-        at = stop
-    yield np.array([before]), np.array([end])
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64; those of ordinary chunks are kept."""
+    return _kept_tables() if n <= 2 * CHUNK else (_powers(int(BASE), n), _powers(pow(int(BASE), -1, 1 << 64), n))
+
+
+@lru_cache(maxsize=1)
+def _kept_tables() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(int(BASE), 2 * CHUNK), _powers(pow(int(BASE), -1, 1 << 64), 2 * CHUNK)
+
+
+def word_keys(data: np.ndarray, model: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of some bytes, and their keys."""
+    blank = np.r_[True, IS_BLANK[data], True]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, stop = edge[::2], edge[1::2]
+    up, down = _tables(len(data))
+    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+    return start, _mixed(_mixed((sums[stop] - sums[start]) * down[start]) + np.uint64(model)) >> UNSENT
+
+
+def _edge(place: np.uint64, model: int) -> np.uint64:
+    return (_mixed(np.array([place]) + np.uint64(model)) >> UNSENT)[0]
+
+
+def _pieces(texts: Iterator[bytes]) -> Iterator[list[tuple[int, bytes, bool]]]:
+    """Lists of (text's number, piece, whether it is the text's last), of about CHUNK bytes; pieces end at blanks."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            stop = BLANK.search(text, at + CHUNK) if len(text) > at + CHUNK else None
+            end = stop.start() if stop else len(text)
+            held.append((i, text[at:end], stop is None))
+            size += end - at + 1
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+            if stop is None:
+                break
+            at = end
+    if held:
+        yield held
+
+
+def pairs(texts: Iterator[bytes], model: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's number, key of a word, key of the next) for all words and the places before and after a text, in chunks."""
+    first, end = int(_edge(START, model)), int(_edge(END, model))
+    before = first
+    for held in _pieces(texts):
+        size = np.array([len(p) + 1 for _, p, _ in held])
+        start, key = word_keys(np.frombuffer(b" ".join(p for _, p, _ in held), np.uint8), model)
+        n = np.diff(np.searchsorted(start, np.r_[0, np.cumsum(size)]))
+        last = np.array([x for _, _, x in held])
+        places = n + last  # a piece's words, and the end of its text
+        stops = np.cumsum(places)
+        if not stops[-1]:
+            continue  # blanks inside a text
+        b = np.empty(int(stops[-1]), np.uint64)
+        is_end = np.zeros(len(b), bool)
+        is_end[stops[last] - 1] = True
+        b[is_end], b[~is_end] = end, key
+        a = np.r_[np.uint64(before), b[:-1]]
+        a[1:][is_end[:-1]] = first
+        before = first if is_end[-1] else int(b[-1])
+        yield np.repeat(np.array([i for i, _, _ in held]), places), a, b
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return _mixed(a * BASE + b)
 
 
 #: Distinct pairs in order of their hash: hash, first and second word, count.
@@ -85,21 +144,19 @@ def summed(parts: list[Counts]) -> Counts:
     if not parts:
         return tuple(np.empty(0, np.uint64) for _ in range(3)) + (np.empty(0, np.int64),)
     h, a, b, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    return h[first], a[order][first], b[order][first], np.add.reduceat(n[order], first) if len(first) else n
+    return h[first], a[order[first]], b[order[first]], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def counted(texts: Iterator[bytes], model: int) -> Counts:
-    hold, size, done = [], 0, []
-    for text in texts:
-        for a, b in pairs(text, model):
-            hold.append((pair_hash(a, b), a, b, np.ones(len(a), np.int64)))
-            size += len(a)
-            if size >= PAIRS:
-                done, hold, size = [summed(done + hold)], [], 0
-    return summed(done + hold)
+    parts: list[Counts] = []
+    for _, a, b in pairs(texts, model):
+        parts.append(summed([(pair_hash(a, b), a, b, np.ones(len(a), np.int64))]))
+        if len(parts) > 15:
+            parts = [summed(parts)]
+    return summed(parts)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -132,11 +189,11 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (key % np.uint64(shards)).astype(np.int64)
 
 
-#: What moves between blocks and shards. kind: counts of pairs (one, two: their words), left contexts of words (one),
-#: or requests (one: words, two: pairs).
-MOVED = (("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("model", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("n", pa.binary()))
-COUNTS, CONTEXTS, REQUEST = range(3)
-SCHEMA = "shard long, kind int, block long, model long, one binary, two binary, n binary"
+#: What moves between blocks and shards. kind: counts of pairs (keys: first words, more: second words, n), left contexts
+#: of words (keys, n), entries of pairs, contexts and words (keys, n: steps), or requests (keys: words, more: pairs).
+MOVED = (("shard", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("model", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("n", pa.binary()))
+COUNTS, CONTEXTS, OWN, BACK, LOW, REQUEST = range(6)
+SCHEMA = "shard long, kind int, block long, model long, keys binary, more binary, n binary"
 ANSWER = (("block", pa.int64()), ("shard", pa.int64()), ("model", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()))
 
 
@@ -181,8 +238,8 @@ def _count_block(docs: pa.Table, good: pa.Table, shards: int) -> pa.Table:
 
 def _read_counts(moved: pa.Table) -> dict[int, Counts]:
     parts: dict[int, list[Counts]] = {}
-    for model, one, two, n in zip(*(moved.column(c).to_pylist() for c in ("model", "one", "two", "n"))):
-        a, b = _unpack_keys(one), _unpack(two).astype(np.uint64)
+    for model, keys, more, n in zip(*(moved.column(c).to_pylist() for c in ("model", "keys", "more", "n"))):
+        a, b = _unpack_keys(keys), _unpack(more).astype(np.uint64)
         held = parts.setdefault(model, [])
         held.append((pair_hash(a, b), a, b, _unpack(n)))
         if len(held) > 63:
@@ -211,8 +268,8 @@ def _sum_counts(moved: pa.Table, shards: int) -> pa.Table:
 
 def _sum_contexts(moved: pa.Table) -> pa.Table:
     shard, parts = moved.column("shard")[0].as_py(), {}
-    for model, one, n in zip(*(moved.column(c).to_pylist() for c in ("model", "one", "n"))):
-        parts.setdefault(model, []).append((_unpack_keys(one), _unpack(n)))
+    for model, keys, n in zip(*(moved.column(c).to_pylist() for c in ("model", "keys", "n"))):
+        parts.setdefault(model, []).append((_unpack_keys(keys), _unpack(n)))
     out = []
     for model, p in parts.items():
         k, n = (np.concatenate(x) for x in zip(*p))
@@ -236,38 +293,54 @@ class Discounts:
     def of(self, n: np.ndarray) -> np.ndarray:
         return self.less[np.minimum(n, 3)]
 
-
-class ShardModel:
-    """One model's part of a shard."""
-
-    def __init__(self, first: Discounts, second: Discounts):
-        self.first, self.second = first, second
-        self.pair = self.word = self.context = np.empty(0, np.uint64)
-        self.own = self.low = self.back = np.empty(0)
-
-    def add_pairs(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
-        """Counts in order of ``a``."""
-        self.context, at = np.unique(a, return_inverse=True)
-        total, spare = np.bincount(at, weights=n), np.bincount(at, weights=self.second.of(n))
-        self.back = spare / total
-        own = (n - self.second.of(n)) / total[at]
-        pair = pair_hash(a, b) >> UNSENT
-        order = np.argsort(pair, kind="stable")
-        self.pair, self.own = pair[order], own[order]
-
-    def add_words(self, word: np.ndarray, n: np.ndarray) -> None:
-        self.word, self.low = word, (n - self.first.of(n)) / self.first.total + self.unseen()
-
     def unseen(self) -> float:
-        """Lower-order probability of a word without a left context; one place more than words is for all such words."""
-        return self.first.spare / self.first.total / (self.first.entries + 1)
-
-    def answers(self, words: np.ndarray, pair_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, back, own = _look(self.word, self.low, words, self.unseen()), _look(self.context, self.back, words, 1.0), _look(self.pair, self.own, pair_keys, 0.0)
-        return np.r_[_steps(low), _steps(back)], _steps(own)
-
-
-def _look(known: np.ndarray, value: np.ndarray, keys: np.ndarray, otherwise: float) -> np.ndarray:
+        """What a word without a left context gets; one place more than words is for all such words."""
+        return self.spare / self.total / (self.entries + 1)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], stats: dict[int, tuple[Discounts, Discounts]], shards: int) -> Iterator[pa.RecordBatch]:
+    """Summed counts -> entries, pairs by their own shards."""
+    for rows in batches:
+        for shard, kind, model, keys, more, n in zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("shard", "kind", "model", "keys", "more", "n"))):
+            first, second = stats[model]
+            keys, n, out = _unpack_keys(keys), _unpack(n), []
+            if kind == CONTEXTS:
+                low = (n - first.of(n)) / first.total + first.unseen()
+                out.append((shard, LOW, -1, model, _pack_keys(keys), None, _pack(_steps(low))))
+            else:
+                context, at = np.unique(keys, return_inverse=True)
+                total, spare = np.bincount(at, weights=n), np.bincount(at, weights=second.of(n))
+                out.append((shard, BACK, -1, model, _pack_keys(context), None, _pack(_steps(spare / total))))
+                own = _steps((n - second.of(n)) / total[at])
+                pair = pair_hash(keys, _unpack(more).astype(np.uint64)) >> UNSENT
+                order = np.argsort(pair)
+                pair, own = pair[order], own[order]
+                out += [(s, OWN, -1, model, _pack_keys(pair[i]), None, _pack(own[i])) for s, i in _by_shard(_shard(pair, shards), shards)]
+            yield from _table(out).to_batches()
+
+
+class ShardEntries:
+    """One model's entries of a shard: keys and steps by kind."""
+
+    def __init__(self, unseen: int):
+        self.held: dict[int, list] = {OWN: [], BACK: [], LOW: []}
+        self.otherwise = {OWN: 0, BACK: 1, LOW: unseen}  # steps: no share of its own, all weight, an unknown word
+        self.ready = False
+
+    def add(self, kind: int, keys: np.ndarray, steps: np.ndarray) -> None:
+        self.held[kind].append((keys, steps.astype(np.int32)))
+
+    def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        if not self.ready:
+            for k, parts in self.held.items():
+                known, steps = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int32))
+                order = np.argsort(known)
+                self.held[k] = [known[order], steps[order]]
+            self.ready = True
+        return _look(*self.held[kind], keys, self.otherwise[kind])
+
+
+def _look(known: np.ndarray, value: np.ndarray, keys: np.ndarray, otherwise: int) -> np.ndarray:
     if not len(known):
         return np.full(len(keys), otherwise)
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -287,38 +360,42 @@ def _ask_block(docs: pa.Table, shards: int) -> pa.Table:
     """Requests of the block's distinct words and pairs."""
     out, block = [], docs.column("block")[0].as_py() if docs.num_rows else 0
     for model, rows in _by_model(docs).items():
-        asked = _asked(counted(_texts(docs, rows), model), shards)
-        out += [(s, REQUEST, block, model, _pack_keys(words), _pack_keys(pair_keys), None) for s, words, _, pair_keys, _ in asked]
+        h, _, b, _ = counted(_texts(docs, rows), model)
+        for s, words, _, pair_keys, _ in _asked(h, _words(b, model), shards):
+            out.append((s, REQUEST, block, model, _pack_keys(words), _pack_keys(pair_keys), None))
     return _table(out)
 
 
-def _asked(distinct: Counts, shards: int) -> Iterator[tuple]:
-    """Of each shard its words and pair keys in order, with their places among the block's words and pairs."""
-    h, a, b, _ = distinct
-    words = np.unique(np.concatenate([a, b]))
-    of_word, of_pair = dict(_by_shard(_shard(words, shards), shards)), dict(_by_shard(_shard(a, shards), shards))
-    for s in sorted(of_word):
-        w, p = of_word[s], of_pair.get(s, np.empty(0, np.int64))
-        yield s, words[w], w, h[p] >> UNSENT, p
+def _words(b: np.ndarray, model: int) -> np.ndarray:
+    """Keys of all words of distinct pairs in order: each word follows another one or the start."""
+    return np.unique(np.r_[b, _edge(START, model)])
+
+
+def _asked(h: np.ndarray, words: np.ndarray, shards: int) -> Iterator[tuple]:
+    """Of each shard its words and pair keys in order, with their places among the block's words and pairs (in order of hash)."""
+    pair_keys = h >> UNSENT
+    of_word, of_pair = dict(_by_shard(_shard(words, shards), shards)), dict(_by_shard(_shard(pair_keys, shards), shards))
+    none = np.empty(0, np.int64)
+    for s in sorted(of_word.keys() | of_pair.keys()):
+        w, p = of_word.get(s, none), of_pair.get(s, none)
+        yield s, words[w], w, pair_keys[p], p
 
 
-def _answered(batches: Iterator[pa.RecordBatch], stats: dict[int, tuple[Discounts, Discounts]]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of shard and kind -> answers. A task holds one shard's model; requests stream by."""
+def _answered(batches: Iterator[pa.RecordBatch], unseen: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of shard and kind -> answers. A task holds one shard's entries; requests stream by."""
     shard, models = None, {}
-    for b in batches:
+    for rows in batches:
         out = []
-        for s, kind, block, model, one, two, n in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for s, kind, block, model, keys, more, n in zip(*(rows.column(i).to_pylist() for i in range(7))):
             if s != shard:
-                shard, models = s, {m: ShardModel(*x) for m, x in stats.items()}
+                shard, models = s, {m: ShardEntries(x) for m, x in unseen.items()}
             if model not in models:
                 continue  # a model without trusted text
-            if kind == COUNTS:
-                models[model].add_pairs(_unpack_keys(one), _unpack(two).astype(np.uint64), _unpack(n))
-            elif kind == CONTEXTS:
-                models[model].add_words(_unpack_keys(one), _unpack(n))
+            if kind != REQUEST:
+                models[model].add(kind, _unpack_keys(keys), _unpack(n))
             else:
-                words, pair_steps = models[model].answers(_unpack_keys(one), _unpack_keys(two))
-                out.append((block, s, model, _pack(words), _pack(pair_steps)))
+                words, own = _unpack_keys(keys), models[model].look(OWN, _unpack_keys(more))
+                out.append((block, s, model, _pack(np.r_[models[model].look(LOW, words), models[model].look(BACK, words)]), _pack(own)))
         yield from _table(out, ANSWER).to_batches()
 
 
@@ -329,20 +406,29 @@ def _score_block(docs: pa.Table, got: pa.Table, shards: int) -> pa.Table:
     for model, rows in _by_model(docs).items():
         if model not in known:
             continue  # a model without trusted text
-        distinct = h, a, b, _ = counted(_texts(docs, rows), model)
-        words = np.unique(np.concatenate([a, b]))
+        places, parts = [], []
+        for doc, a, b in pairs(_texts(docs, rows), model):
+            hashes = pair_hash(a, b)
+            places.append((doc.astype(np.int32), hashes))
+            parts.append(summed([(hashes, a, b, np.ones(len(a), np.int64))]))
+        h, a, b, _ = summed(parts)
+        del parts
+        words = _words(b, model)
         low, back, own = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(h), np.int64)
-        for s, _, w, _, p in _asked(distinct, shards):
+        for s, _, w, _, p in _asked(h, words, shards):
             word_steps, pair_steps = map(_unpack, answers[model, s])
             low[w], back[w] = np.split(word_steps, 2)
             own[p] = pair_steps
         logs = -np.log(_probability(own) + _probability(back)[np.searchsorted(words, a)] * _probability(low)[np.searchsorted(words, b)])
-        for i, text in zip(rows, _texts(docs, rows)):
-            total = n = 0
-            for x, y in pairs(text, model):
-                total += float(logs[np.searchsorted(h, pair_hash(x, y))].sum())
-                n += len(x)
-            perplexity[i] = float(np.exp(total / n))
+        total, n = np.zeros(len(rows)), np.zeros(len(rows))
+        for doc, hashes in places:
+            order = np.argsort(hashes)
+            at = np.empty(len(order), np.int64)
+            at[order] = np.searchsorted(h, hashes[order])  # in order, so that the search stays in the cache
+            total += np.bincount(doc, weights=logs[at], minlength=len(rows))
+            n += np.bincount(doc, minlength=len(rows))
+        for i, x in zip(rows, np.exp(total / n)):
+            perplexity[i] = float(x)
     return pa.table({"doc_id": docs.column("doc_id"), "model": docs.column("model"), "perplexity": pa.array(perplexity, pa.float64())})
 
 
@@ -371,27 +457,42 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     at = lambda x: F.pmod(x, F.lit(blocks)).cast("long").alias("block")
     model = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(own) for x in (name, i))), F.col("lang")), F.lit(0)).cast("long").alias("model")
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    texts = rows.select("doc_id", model, "text", at(spread)).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
-    labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id"))).groupBy("block")
-
-    counts = texts.cogroup(labelled).applyInArrow(lambda docs, good: _count_block(docs, good, shards), SCHEMA)
-    pairs_summed, drop_pairs = stored(counts.groupBy("shard").applyInArrow(lambda moved: _sum_counts(moved, shards), WITH_STATS))
-    del counts
-    release(spark)  # a move's files go before the next one starts
-    words_summed, drop_words = stored(pairs_summed.where(F.col("kind") == CONTEXTS).drop(*(c for c, _ in STATS)).groupBy("shard").applyInArrow(_sum_contexts, WITH_STATS))
-    pairs_only = pairs_summed.where(F.col("kind") == COUNTS)
-    met = pairs_only.unionByName(words_summed).groupBy("model", "kind").agg(*(F.sum(c).alias(c) for c, _ in STATS)).collect()
+    placed = rows.select("doc_id", model, "text", at(spread))
+    labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id")))
+
+    def of_round(i: int, df: DataFrame):
+        return df.where(F.col("block") % rounds == i)
+
+    def texts(i: int):
+        return of_round(i, placed).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
+
+    rounds = min(ROUNDS, blocks)
+    counts = [stored(texts(i).cogroup(of_round(i, labelled).groupBy("block")).applyInArrow(lambda docs, good: _count_block(docs, good, shards), SCHEMA)) for i in range(rounds)]
+    counted_ = reduce(DataFrame.unionByName, (c for c, _ in counts))
+    sums = [stored(counted_.where(F.col("shard") % rounds == i).groupBy("shard").applyInArrow(lambda moved: _sum_counts(moved, shards), WITH_STATS)) for i in range(rounds)]
+    for _, drop in counts:
+        drop()
+    pairs_summed = reduce(DataFrame.unionByName, (x for x, _ in sums))
+    words_summed, drop_words = stored(pairs_summed.where(F.col("kind") == CONTEXTS).select(*(c for c, _ in MOVED)).groupBy("shard").applyInArrow(_sum_contexts, WITH_STATS))
+    both = pairs_summed.where(F.col("kind") == COUNTS).unionByName(words_summed)
+    met = both.groupBy("model", "kind").agg(*(F.sum(c).alias(c) for c, _ in STATS)).collect()
     orders = {(r["model"], r["kind"]): Discounts(*(r[c] for c, _ in STATS)) for r in met}
     stats = {m: (orders[m, CONTEXTS], orders[m, COUNTS]) for m, kind in orders if kind == COUNTS}
-
-    asked = texts.applyInArrow(lambda docs: _ask_block(docs, shards), SCHEMA)
-    known = pairs_only.unionByName(words_summed).drop(*(c for c, _ in STATS))
-    in_order = known.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    answers = cut(in_order.mapInArrow(partial(_answered, stats=stats), "block long, shard long, model long, words binary, pairs binary"))
-    drop_pairs(), drop_words()
-    del asked, known, in_order
-    release(spark)
-    scored = cut(texts.cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _score_block(docs, got, shards), "doc_id long, model long, perplexity double"))
+    entries, drop_entries = stored(both.mapInArrow(partial(_entries, stats=stats, shards=shards), SCHEMA))
+    for _, drop in sums:
+        drop()
+    drop_words()
+
+    unseen = {m: int(_steps(np.array([first.unseen()]))[0]) for m, (first, _) in stats.items()}
+    parts = []
+    for i in range(rounds):
+        asked = texts(i).applyInArrow(lambda docs: _ask_block(docs, shards), SCHEMA)
+        in_order = entries.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+        answers, drop_answers = stored(in_order.mapInArrow(partial(_answered, unseen=unseen), "block long, shard long, model long, words binary, pairs binary"))
+        parts.append(cut(texts(i).cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _score_block(docs, got, shards), "doc_id long, model long, perplexity double")))
+        drop_answers()
+    drop_entries()
+    scored = reduce(DataFrame.unionByName, parts)
     limits = scored.join(good.where(held).hint("merge"), "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("high"))
     name = F.element_at(F.array(*map(F.lit, own)), F.col("model").cast("int") + 1).alias("model")
     return scored.join(F.broadcast(limits), "model", "left").select("doc_id", name, "perplexity", F.coalesce(F.col("perplexity") <= F.col("high"), F.lit(True)).alias("kept"))

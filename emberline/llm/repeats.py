@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, release, small_batches, stored, text_or_empty
+from emberline.llm.common import cut, small_batches, stored, text_or_empty
 
 GRAM = 32
 #: Texts that share an anchor beyond which its passages are grouped by longer cores, and the parts of the starts then;
@@ -299,7 +299,6 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         ways = F.when(F.col("n") > least, parts).otherwise(ways)
     often = cut(counts.select("anchor", ways.alias("ways")))  # so that the join is of two shuffles alone, and a hot anchor can be split
     shared, drop = stored(rows.join(often.hint("merge"), "anchor").select(*KEY, "anchor", "place", "more", "ways"))
-    release(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-shared.count() // PASSAGES))
     shared = shared.dropDuplicates([*KEY, "anchor"])  # a text that several tasks have sent
     places = shared.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "place", "more", "ways")).alias("at"))
@@ -307,7 +306,6 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     passages = texts.select(*KEY, "text", "at").mapInArrow(partial(_passage_rows, length=length), PASSAGE)
     spans = cut(passages.repartition(parts, "gid").mapInArrow(partial(_spans, length=length), "key long, key2 long, start long, stop long"))
     drop()
-    release(spark)
     return spans
 
 

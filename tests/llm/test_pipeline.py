@@ -26,7 +26,7 @@ def test_stages_keep_columns_and_decide(spark):
     assert len(strings) != len(set(strings))  # there was something to cut
     times = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert set(times.values()) <= {1, 2}
-    encode = packing.encoder(packing.default_path())
+    encode = packing.encoder(*packing.default_paths())
     want = sum(len(encode(r["text"] or "")) + 1 for r in mixed.collect())
     assert sum(r["length"] for r in packed.collect()) == want
 

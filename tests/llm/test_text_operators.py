@@ -181,11 +181,10 @@ def plain_kneser_ney(texts: list[str]):
     return p, one
 
 
-@pytest.mark.parametrize("block,chunk,held", [(ngrams.BLOCK, ngrams.CHUNK, ngrams.PAIRS), (700, 9, 50)])
-def test_perplexities_match_brute_force(spark, monkeypatch, block, chunk, held):
+@pytest.mark.parametrize("block,rounds", [(ngrams.BLOCK, 1), (700, 3)])
+def test_perplexities_match_brute_force(spark, monkeypatch, block, rounds):
     monkeypatch.setattr(ngrams, "HELD", 0.0)
-    monkeypatch.setattr(ngrams, "CHUNK", chunk)
-    monkeypatch.setattr(ngrams, "PAIRS", held)
+    monkeypatch.setattr(ngrams, "ROUNDS", rounds)
     r = random.Random(9)
     vocabulary = edge.words(r, 60).split()
     text = lambda: " ".join(r.choice(vocabulary) if r.random() < 0.8 else edge.words(r, 1) for _ in range(12))
@@ -206,15 +205,26 @@ def test_perplexities_match_brute_force(spark, monkeypatch, block, chunk, held):
 
 def test_pairs_are_counted_alike_in_chunks(monkeypatch):
     r = random.Random(4)
-    texts = [edge.words(r, n).encode() for n in (0, 1, 30, 900)] + [b" \t ", b"x" * 500 + b"  y\x0b z"]
-    whole = ngrams.counted(iter(texts), 3)
-    monkeypatch.setattr(ngrams, "CHUNK", 7)
-    monkeypatch.setattr(ngrams, "PAIRS", 5)
-    assert all((a == b).all() for a, b in zip(whole, ngrams.counted(iter(texts), 3))) and whole[3].sum() == sum(len(t.split()) + 1 for t in texts)
+    texts = [edge.words(r, n).encode() for n in (0, 1, 30, 900)] + [b" \t ", b"x" * 500 + b"  y\x0b z", b"", "é漢 é漢 <".encode()]
+    whole, ids = ngrams.counted(iter(texts), 3), list(ngrams.pairs(iter(texts), 3))[0][0]
+    assert whole[3].sum() == len(ids) == sum(len(t.split()) + 1 for t in texts)
+    for chunk in (1, 7, 400):
+        monkeypatch.setattr(ngrams, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(whole, ngrams.counted(iter(texts), 3)))
+        assert (np.concatenate([i for i, _, _ in ngrams.pairs(iter(texts), 3)]) == ids).all()
     keys = np.sort(whole[0] >> ngrams.UNSENT)
     assert (ngrams._unpack_keys(ngrams._pack_keys(keys)) == keys).all()
 
 
+def test_words_have_keys_of_their_own():
+    words = sorted({w for (t,) in duckdb.sql("select coalesce(text, '') from '/root/testdata/sf0.1/documents.parquet'").fetchall() for w in t.encode().split()} | {bytes([a, b]) for a in range(33, 256) for b in range(33, 256)})
+    start, keys = ngrams.word_keys(np.frombuffer(b"\n ".join(words), np.uint8), 0)
+    assert len(words) > 100_000 and len(start) == len(words) == len(set(keys.tolist()))
+    again = [ngrams.word_keys(np.frombuffer(b"  " * (i % 5) + w, np.uint8), 0)[1] for i, w in enumerate(words[:300])]
+    assert np.concatenate(again).tolist() == keys[:300].tolist()
+    assert not set(keys.tolist()) & set(ngrams.word_keys(np.frombuffer(b" ".join(words), np.uint8), 1)[1].tolist())
+
+
 def test_what_the_model_gathers_grows_with_the_text():
     sizes = []
     for sf in ("0.01", "0.1"):
@@ -619,15 +629,19 @@ def test_mix_matches_sql(spark):
 
 
 def plain_encoder():
-    vocabulary = Tokenizer.from_file(packing.default_path())
+    vocabulary = Tokenizer.from_file(packing.default_paths()[0])
     return lambda text: vocabulary.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_plain_call(spark):
-    plain, own = plain_encoder(), packing.encoder(packing.default_path())
+    plain, own = plain_encoder(), packing.encoder(*packing.default_paths())
     for t in ("a <|endoftext|> d", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext |>", "漢字 🙂\u0300é \u200b\x00", "'s 'S don't", " \n\n  x\t"):
         assert own(t) == plain(t), t
     assert 50256 in own("a <|endoftext|> d")
+    r = random.Random(10)
+    for _ in range(400):
+        t = "".join(chr(r.choice((r.randint(9, 126), r.randint(160, 0x24F), r.randint(0x2010, 0x2030), 32, r.randint(0x300, 0xD7FF)) if r.random() < 0.3 else (r.randint(32, 126), 10, 32, r.randint(0xC0, 0xFF)))) for _ in range(r.randint(0, 80)))
+        assert own(t) == plain(t), t
     folder = "/root/testdata/sf0.01"
     got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
     want = {}
