@@ -39,8 +39,9 @@ HELD = 0.2
 QUANTILE = 0.99
 #: Bytes of text in a block, and of a shard's part of all text.
 BLOCK = 12 << 20
-#: Parts of the blocks, and of the shards, that are done one after another: what moves at once is bounded by it, and texts are read anew.
-ROUNDS = 4
+#: Parts of the blocks, and of the shards, that are done one after another when pairs are counted and when texts are
+#: scored: what moves at once is bounded by them; each part reads the texts anew.
+ROUNDS = (4, 8)
 #: Bytes of texts that are split into words at once.
 CHUNK = 1 << 20
 #: Answers are whole numbers of so many to a unit of the natural logarithm.
@@ -460,16 +461,14 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
     placed = rows.select("doc_id", model, "text", at(spread))
     labelled = good.where(~held).select("doc_id", at(F.xxhash64("doc_id")))
 
-    def of_round(i: int, df: DataFrame):
-        return df.where(F.col("block") % rounds == i)
+    counting, scoring = (min(x, blocks) for x in ROUNDS)
 
-    def texts(i: int):
-        return of_round(i, placed).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
+    def texts(i: int, rounds: int):
+        return placed.where(F.col("block") % rounds == i).mapInArrow(_compressed, "doc_id long, model long, text binary, block long").groupBy("block")
 
-    rounds = min(ROUNDS, blocks)
-    counts = [stored(texts(i).cogroup(of_round(i, labelled).groupBy("block")).applyInArrow(lambda docs, good: _count_block(docs, good, shards), SCHEMA)) for i in range(rounds)]
+    counts = [stored(texts(i, counting).cogroup(labelled.where(F.col("block") % counting == i).groupBy("block")).applyInArrow(lambda docs, good: _count_block(docs, good, shards), SCHEMA)) for i in range(counting)]
     counted_ = reduce(DataFrame.unionByName, (c for c, _ in counts))
-    sums = [stored(counted_.where(F.col("shard") % rounds == i).groupBy("shard").applyInArrow(lambda moved: _sum_counts(moved, shards), WITH_STATS)) for i in range(rounds)]
+    sums = [stored(counted_.where(F.col("shard") % counting == i).groupBy("shard").applyInArrow(lambda moved: _sum_counts(moved, shards), WITH_STATS)) for i in range(counting)]
     for _, drop in counts:
         drop()
     pairs_summed = reduce(DataFrame.unionByName, (x for x, _ in sums))
@@ -485,11 +484,11 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bloc
 
     unseen = {m: int(_steps(np.array([first.unseen()]))[0]) for m, (first, _) in stats.items()}
     parts = []
-    for i in range(rounds):
-        asked = texts(i).applyInArrow(lambda docs: _ask_block(docs, shards), SCHEMA)
+    for i in range(scoring):
+        asked = texts(i, scoring).applyInArrow(lambda docs: _ask_block(docs, shards), SCHEMA)
         in_order = entries.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
         answers, drop_answers = stored(in_order.mapInArrow(partial(_answered, unseen=unseen), "block long, shard long, model long, words binary, pairs binary"))
-        parts.append(cut(texts(i).cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _score_block(docs, got, shards), "doc_id long, model long, perplexity double")))
+        parts.append(cut(texts(i, scoring).cogroup(answers.groupBy("block")).applyInArrow(lambda docs, got: _score_block(docs, got, shards), "doc_id long, model long, perplexity double")))
         drop_answers()
     drop_entries()
     scored = reduce(DataFrame.unionByName, parts)

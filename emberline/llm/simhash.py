@@ -11,7 +11,7 @@ task holds the range's codes; queries stream through it. Links are given as edge
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import groupby
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, small_batches
+from emberline.llm.common import cut, small_batches, stored
 from emberline.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -355,14 +355,16 @@ def representatives(docs: DataFrame, words: int = 5, distance: int = 4, seed: in
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "times")).alias("least")
     nodes = cut(fps.groupBy("fps", "doc_id", "row_hash").agg(F.count("*").alias("times")).groupBy("fps").agg(least))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
-    edges = None
+    parts = []
     for i in range(many):
         by_code = cut(nodes.groupBy(F.get("fps", F.lit(i)).alias("fp")).agg(F.min("id").alias("id")))
-        linked = code_links(by_code.select("fp"), distance).join(by_code.withColumnsRenamed({"fp": "u", "id": "a"}), "u").join(by_code.withColumnsRenamed({"fp": "v", "id": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        same = nodes.select(F.get("fps", F.lit(i)).alias("fp"), F.col("id").alias("u")).join(by_code, "fp").where("u != id").select("u", F.col("id").alias("v"))
-        linked = linked.unionByName(same)
-        edges = linked if edges is None else edges.unionByName(linked)
-    roots = connected_components(edges)
+        ends = {x: by_code.withColumnsRenamed({"fp": code, "id": x}).hint("merge") for code, x in (("u", "a"), ("v", "b"))}
+        linked = code_links(by_code.select("fp"), distance).join(ends["a"], "u").join(ends["b"], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        same = nodes.select(F.get("fps", F.lit(i)).alias("fp"), F.col("id").alias("u")).join(by_code.hint("merge"), "fp").where("u != id").select("u", F.col("id").alias("v"))
+        parts.append(stored(linked.unionByName(same)))
+    roots = connected_components(reduce(DataFrame.unionByName, (p for p, _ in parts)))
+    for _, drop in parts:
+        drop()
     rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select("least", F.coalesce("root", "id").alias("root"))
     return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_hash", "least.times")
 

@@ -181,7 +181,7 @@ def plain_kneser_ney(texts: list[str]):
     return p, one
 
 
-@pytest.mark.parametrize("block,rounds", [(ngrams.BLOCK, 1), (700, 3)])
+@pytest.mark.parametrize("block,rounds", [(ngrams.BLOCK, (1, 1)), (700, (3, 2))])
 def test_perplexities_match_brute_force(spark, monkeypatch, block, rounds):
     monkeypatch.setattr(ngrams, "HELD", 0.0)
     monkeypatch.setattr(ngrams, "ROUNDS", rounds)
