@@ -41,7 +41,7 @@ QUANTILE = 0.99
 BLOCK = 12 << 20
 #: Parts of the blocks, and of the shards, that are done one after another when pairs are counted and when texts are
 #: scored: what moves at once is bounded by them; each part reads the texts anew.
-ROUNDS = (4, 8)
+ROUNDS = (4, 10)
 #: Bytes of texts that are split into words at once.
 CHUNK = 1 << 20
 #: Answers are whole numbers of so many to a unit of the natural logarithm.

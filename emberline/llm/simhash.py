@@ -347,7 +347,8 @@ def representatives(docs: DataFrame, words: int = 5, distance: int = 4, seed: in
     Texts are linked if any of ``many`` independent fingerprints of them are at up to ``distance`` differing bits: one
     alone at 4 bits links few of the texts that are alike at 0.8 to 0.95, several link most. It is the row of the least
     doc_id, null last, and of the least :func:`row_hash` among rows of that doc_id. Null texts count as empty; empty
-    texts are alike. An empty table gives an empty result.
+    texts are alike. Each fingerprint's links are written out before the next one's are sought, so that no plan grows
+    with their number. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("row_hash"))
