@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from emberline.operators.stats import DIGITS
 
-ROUNDS = 8
+#: Rounds at most; they end before when no centre moves.
+ROUNDS = 20
 
 
 def distance(columns: list[str], centre: list[float]) -> Column:
@@ -28,7 +29,7 @@ def lloyd(df: DataFrame, key: str, columns: list[str], k: int, rounds: int = ROU
     """Centres that don't depend on how rows are dealt out.
 
     The first is the row with the least key, each next one the row farthest from all before (of equals the least
-    key); then a fixed number of rounds, in which an empty cluster keeps its centre. Only centres come to the driver.
+    key); then rounds until no centre moves, in which an empty cluster keeps its centre. Only centres come to the driver.
     """
     row = F.struct(*columns)
     first = df.agg(F.min_by(row, key).alias("r")).first()["r"]
@@ -41,8 +42,11 @@ def lloyd(df: DataFrame, key: str, columns: list[str], k: int, rounds: int = ROU
     for _ in range(rounds):
         _, at = nearest(columns, centres)
         means = df.groupBy(at.alias("c")).agg(*(F.round(F.mean(c), DIGITS).alias(c) for c in columns)).collect()
+        before = list(centres)
         for m in means:
             centres[m["c"]] = [m[c] for c in columns]
+        if centres == before:
+            break
     return centres
 
 

@@ -1,7 +1,7 @@
 """Training in a barrier stage and scoring of the small networks.
 
-Each task of the stage holds one shard of a bounded sample and steps through it; every few epochs all tasks exchange
-their weights and go on from the mean. Scoring covers every row, with the weights as constants of a vectorised map.
+Each task of the stage holds one shard of all rows and steps through it; after each epoch all tasks exchange their
+weights and go on from the mean. Scoring covers every row, with the weights as constants of a vectorised map.
 """
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.autodiff import Adam
-from emberline.functions.hashing import draw
 from emberline.functions.networks import NETWORKS, Network, Weights
 from emberline.operators.sequence import row_shards
 from emberline.session import workers_find_package
 
-#: Rows that networks are trained on at most, chosen by a hash of the key (contiguous windows for sequence networks).
-TRAINED_ROWS = 20_000
-WORKERS = 2
+#: Tasks of a training stage, all of which run at once; fewer where there are fewer slots.
+WORKERS = 8
+
+
+def task_count(spark: SparkSession) -> int:
+    return max(1, min(WORKERS, spark.sparkContext.defaultParallelism))
 
 
 def flatten(w: Weights) -> np.ndarray:
@@ -49,13 +51,11 @@ def fit_shard(net: Network, w: Weights, x: np.ndarray, epochs: int, batch: int,
     return w, loss / max(1, len(x))
 
 
-def train(df: DataFrame, key: str, column: str, net: Network, epochs: int = 30, batch: int = 256, seed: int = 42, workers: int = WORKERS, together: int = 5, most: int = TRAINED_ROWS) -> DataFrame:
+def train(df: DataFrame, key: str, column: str, net: Network, epochs: int = 30, batch: int = 256, seed: int = 42, workers: int | None = None, together: int = 1) -> DataFrame:
     """Rows ``(layer, idx, value)`` of the trained weights; ``column`` is an array (of arrays, for sequence networks)."""
     workers_find_package(df.sparkSession)
     rows = df.where(F.col(column).isNotNull())
-    n = rows.count()
-    if n > most:
-        rows = rows.where(draw(f"train{seed}", F.col(key)) < F.lit(int(4294967296 * most / n)))
+    workers = workers or task_count(df.sparkSession)
     dealt = row_shards(rows, key, workers, seed).select("_shard", key, column).repartitionByRange(workers, "_shard").coalesce(workers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -43,7 +43,7 @@ class Inputs:
 
     @property
     def sequences(self) -> DataFrame:
-        sharded = sequence.seq_shards(self.rows, self.spec.id, neural.WORKERS)
+        sharded = sequence.seq_shards(self.rows, self.spec.id, neural.task_count(self.rows.sparkSession))
         return sequence.windows(sharded, self.spec.id, self.spec.z, self.preset.window).withColumnRenamed("window", "x")
 
 
@@ -67,10 +67,10 @@ def _dbscan(i: Inputs) -> DataFrame:
     return density.noise(i.rows, i.spec.id, i.spec.z, eps, k, "dbscan_flag")
 
 
-def forest_scores(rows: DataFrame, spec: FeatureSpec, seed: int = 42, trees: int = 50, name: str = "iso_score") -> DataFrame:
+def forest_scores(rows: DataFrame, spec: FeatureSpec, seed: int = 42, trees: int = 50, name: str = "iso_score", sample_rows: int = FOREST_ROWS) -> DataFrame:
     """Grown on a bounded hash sample, applied to every row."""
     workers_find_package(rows.sparkSession)
-    sample = rows.orderBy(draw(f"forest{seed}", F.col(spec.id)), spec.id).limit(FOREST_ROWS).select(*spec.z).collect()
+    sample = rows.orderBy(draw(f"forest{seed}", F.col(spec.id)), spec.id).limit(sample_rows).select(*spec.z).collect()
     forest = Forest(np.array(sample, float).reshape(len(sample), -1), trees, seed=seed)
 
     @F.pandas_udf("double")

@@ -83,19 +83,27 @@ def telemetry(events: DataFrame) -> DataFrame:
 
 
 def sink(df: DataFrame, path: str, partition_by: str | None = None) -> str:
-    """Writes parquet so that readers see the old rows or the new ones: to a folder beside, which then takes the place."""
+    """Writes parquet to a folder beside, which then takes the place of ``path``.
+
+    Between the two renames ``path`` doesn't exist for a moment; readers see old rows or new ones, never both. If a
+    rename fails the old rows are put back, and an error is raised.
+    """
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at = spark._jvm.org.apache.hadoop.fs.Path
     beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old.{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(beside)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(fs_path(path))
-    if had:
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(beside), fs_path(path))
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        fs.delete(at(beside), True)
+        raise OSError(f"could not move {path} away")
+    if not fs.rename(at(beside), at(path)):
+        if had:
+            fs.rename(at(old), at(path))
+        raise OSError(f"could not put {beside} in the place of {path}")
     if had:
-        fs.delete(fs_path(old), True)
+        fs.delete(at(old), True)
     return path
 
 
