@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 512
-ROWS = 100_000
+RANGES, ROWS = 16_384, 100_000
+#: Ends that are compared with a key one by one; of more, every so manyth is looked at first.
+STEP = 128
 BUCKET = "_range"
 
 
@@ -20,9 +21,17 @@ def with_ranges(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     parts = max(1, min(RANGES, -(-n // rows)))
     if parts == 1:
         return df.withColumn(BUCKET, F.lit(0))
-    ends = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    ends = F.array(*(F.lit(e) for e in sorted(set(ends))))
-    return df.withColumn(BUCKET, F.coalesce(F.size(F.filter(ends, lambda e: e < F.col(key))), F.lit(0)))
+    ends = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0]
+    return df.withColumn(BUCKET, F.coalesce(_below(sorted(set(ends)), F.col(key)), F.lit(0)))
+
+
+def _below(ends: list, key: Column) -> Column:
+    """How many of the sorted ends are less than the key."""
+    counted = lambda a: F.size(F.filter(a, lambda e: e < key))
+    if len(ends) <= STEP:
+        return counted(F.array(*(F.lit(e) for e in ends)))
+    full = counted(F.array(*(F.lit(e) for e in ends[STEP - 1 :: STEP])))
+    return full * STEP + counted(F.slice(F.array(*(F.lit(e) for e in ends)), full * STEP + 1, F.lit(STEP)))
 
 
 def _in_range(key: str) -> Window:

@@ -43,8 +43,8 @@ class Inputs:
 
     @property
     def sequences(self) -> DataFrame:
-        sharded = sequence.seq_shards(self.rows, self.spec.id, neural.task_count(self.rows.sparkSession))
-        return sequence.windows(sharded, self.spec.id, self.spec.z, self.preset.window).withColumnRenamed("window", "x")
+        sharded = sequence.seq_shards(self.rows, self.spec.id, neural.task_count(self.rows.sparkSession), "_rn")
+        return sequence.windows(sharded, self.spec.id, self.spec.z, self.preset.window, position="_rn").withColumnRenamed("window", "x")
 
 
 def _kmeans(i: Inputs) -> DataFrame:

@@ -187,7 +187,7 @@ WINDOWED = "w AS (SELECT id, value, CASE WHEN count(*) OVER o = 5 THEN round(avg
 
 
 def _windowed(spark, sf_dir):
-    rows = sequence.windows(sequence.seq_shards(telemetry(spark, sf_dir).select("id", "value"), "id", 3), "id", ["value"], 5)
+    rows = sequence.windows(sequence.seq_shards(telemetry(spark, sf_dir).select("id", "value"), "id", 3, "_rn"), "id", ["value"], 5, position="_rn")
     mean = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[0]) / 5
     return rows.where("window is not null").select("id", F.round(mean, 6).alias("score"))
 

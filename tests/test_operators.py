@@ -123,6 +123,25 @@ def test_windows_at_the_shard_size(spark, n, want):
     assert df.where("window is not null").count() == want and df.count() == n
 
 
+@pytest.mark.parametrize("block", [1, 5, 7, 1000])
+def test_windows_are_the_same_in_blocks_of_any_size(spark, block):
+    sharded = sequence.seq_shards(frame(spark, random_rows(40)), "id", 3, "_rn")
+    got = {r["id"]: r["window"] for r in sequence.windows(sharded, "id", ["a"], 5, position="_rn", block=block).collect()}
+    rows = sequence.seq_shards(frame(spark, random_rows(40)), "id", 3).orderBy("id").collect()
+    assert len(got) == 40
+    for i, r in enumerate(rows):
+        mine = [x["a"] for x in rows[max(0, i - 4) : i + 1] if x["_shard"] == r["_shard"]]
+        assert got[r["id"]] == ([[x] for x in mine] if len(mine) == 5 else None)
+
+
+def test_many_ranges_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(order, "STEP", 4)
+    rows = order.with_ranges(spark.range(1000), "id", 10)
+    per = rows.groupBy(order.BUCKET).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).orderBy(order.BUCKET).collect()
+    assert len(per) == 100 and all(a["hi"] < b["lo"] for a, b in zip(per, per[1:])) and max(r["n"] for r in per) <= 12
+    assert [r["rn"] for r in order.numbered(spark.range(1000), "id").orderBy("id").collect()] == list(range(1, 1001))
+
+
 def test_shards_differ_by_the_ceiling_rule(spark):
     sizes = sequence.seq_shards(frame(spark, random_rows(10)), "id", 4).groupBy("_shard").count().orderBy("_shard").collect()
     assert [r["count"] for r in sizes] == [3, 3, 3, 1]
