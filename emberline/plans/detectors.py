@@ -149,10 +149,39 @@ DETECTORS: dict[str, Callable[[Inputs], DataFrame]] = {
 FOUR = {"kmeans": _kmeans, "gmm": _gmm, "pca_kmeans": _pca, "static": _static}
 
 
+#: Detectors that train a network.
+TRAINED = frozenset(("deep_embedding", "dagmm", "vae", "gan", "usad", "transformer", "lstm", "omnianomaly"))
+
+
+def prepared(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Repaired rows with z columns."""
+    return stats.standardise(sequence.repair(rows, spec.id, list(spec.features)), spec)
+
+
 def inputs(rows: DataFrame, spec: FeatureSpec, preset: Preset = DEFAULT) -> Inputs:
     """Repairs, standardises and keeps the rows for all detectors (in memory and on disk; they can be made again)."""
-    repaired = sequence.repair(rows, spec.id, list(spec.features))
-    return Inputs(stats.standardise(repaired, spec).cache(), spec, preset)
+    return Inputs(prepared(rows, spec).cache(), spec, preset)
+
+
+def fused(i: Inputs) -> DataFrame:
+    """Flags of the detectors whose parameters are few numbers, vote and decision: one projection, no join, no shuffle.
+
+    The parameters come from aggregates over all rows first. Half of the four flags make an anomaly.
+    """
+    key, z, p = i.spec.id, i.spec.z, i.preset
+    flags = ["kmeans_flag", "pca_kmeans_flag", "static_flag", "adaptive_flag"]
+    if i.rows.isEmpty():
+        return i.rows.withColumns({f: F.lit(None).cast("int") for f in (*flags, "vote", "ensemble")})
+    far, _ = cluster.nearest(z, cluster.lloyd(i.rows, key, z, p.kmeans_k))
+    limit = stats.threshold(i.rows.select(far.alias("far")), "far", p.n_std["kmeans"])
+    axes = cluster.components(i.rows, z, p.pca_dims)
+    names = [f"pc{j}" for j in range(len(axes))]
+    rows = cluster.project(i.rows, z, axes)
+    _, at = cluster.nearest(names, cluster.lloyd(rows, key, names, p.pca_k))
+    rare = stats.minority(rows.select(at.alias("cluster")), "cluster")
+    rows = rows.withColumns({"kmeans_flag": (far > F.lit(limit)).cast("int"), "pca_kmeans_flag": (at == F.lit(rare)).cast("int")})
+    rows = stats.adaptive(stats.static_z(rows, i.spec, p.static_z), i.spec, p.adaptive_target)
+    return ensemble.vote(rows, flags, share=0.5).drop(*names)
 
 
 def run_ensemble(rows: DataFrame, spec: FeatureSpec, preset: Preset = DEFAULT, names: list[str] | None = None) -> DataFrame:

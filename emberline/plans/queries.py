@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.hashing import draw_sql, uniform_sql
-from emberline.operators import cluster, density, ensemble, order, sequence, stats
-from emberline.plans import detectors
+from emberline.operators import cluster, density, ensemble, local, order, sequence, stats
+from emberline.plans import dag, detectors, pinned
+from emberline.session import work_folder
 from emberline.sources import tables
-from emberline.spec import DEFAULT, FeatureSpec
+from emberline.spec import DEFAULT, FOURTEEN, FeatureSpec
 
 SPEC = FeatureSpec()
 Z2 = ["z_value", "z_ugap_s"]
@@ -402,6 +403,160 @@ def load_csv_by_pattern(spark, sf_dir):
     return tables.parse_by_pattern(_lines(spark, sf_dir), "line", ["a", "b", "c"]).drop("line")
 
 
+# -- components, merged models, one projection, the graph of steps ----------------------------------------------------
+
+
+def _lloyd_k(of: str, columns, k: int, name: str, by: str = "0", rounds: int = cluster.ROUNDS, digits: int = stats.DIGITS) -> str:
+    """CTEs of Lloyd's rounds for k centres in each group, the last named so; centre j's columns are c{j}_<column>."""
+    held = lambda n: ", ".join(f"any_value(c{j}_{c}) AS c{j}_{c}" for j in range(n) for c in columns)
+    far = lambda n: [_distance_sql(columns, [f"c{j}_{c}" for c in columns]) for j in range(n)]
+    joined = lambda before: f"{of} JOIN {before} ON {by} = grp GROUP BY grp"
+    parts = [f"{name}_s0 AS MATERIALIZED (SELECT {by} AS grp, {', '.join(f'first({c} ORDER BY id) AS c0_{c}' for c in columns)} FROM {of} GROUP BY 1)"]
+    for n in range(1, k):
+        least = f"least({', '.join(far(n))})"
+        parts.append(f"{name}_s{n} AS MATERIALIZED (SELECT grp, {held(n)}, {', '.join(f'first({c} ORDER BY {least} DESC, id) AS c{n}_{c}' for c in columns)} FROM {joined(f'{name}_s{n - 1}')})")
+    before = f"{name}_s{k - 1}"
+    for i in range(1, rounds + 1):
+        new = name if i == rounds else f"{name}_r{i}"
+        means = ", ".join(f"coalesce(round(avg({c}) FILTER (WHERE near = {j}), {digits}), any_value(c{j}_{c})) AS c{j}_{c}" for j in range(k) for c in columns)
+        parts.append(f"{new} AS MATERIALIZED (SELECT grp, {means} FROM (SELECT *, {_nearest_sql(columns, k)} AS near FROM {of} JOIN {before} ON {by} = grp) GROUP BY grp)")
+        before = new
+    return ", ".join(parts)
+
+
+def _nearest_sql(columns, k: int) -> str:
+    far = [_distance_sql(columns, [f"c{j}_{c}" for c in columns]) for j in range(k)]
+    return "CASE " + " ".join(f"WHEN {d} <= least({', '.join(far)}) THEN {j}" for j, d in enumerate(far)) + " END"
+
+
+def _axis_sql(of: str, name: str, d: int) -> str:
+    """CTEs of the main axis of a matrix of columns m{i}{j}, i <= j, by squaring; ``name`` has x0.. and the value."""
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    squared = ", ".join("(" + " + ".join(f"{m(i, q)} * {m(q, j)}" for q in range(d)) + f") / trace2 AS {m(i, j)}" for i, j in pairs)
+    trace2 = " + ".join(f"{m(i, q)} * {m(q, i)}" for i in range(d) for q in range(d))
+    trace = " + ".join(m(i, i) for i in range(d))
+    cells = ", ".join(m(i, j) for i, j in pairs)
+    scaled_cells = ", ".join(f"{m(i, j)} / ({trace}) AS {m(i, j)}" for i, j in pairs)
+    top = f"greatest({', '.join(m(i, i) for i in range(d))})"
+    axis = ", ".join("CASE " + " ".join(f"WHEN {m(j, j)} = {top} THEN {m(i, j)} / sqrt({m(j, j)})" for j in range(d)) + f" END AS x{i}" for i in range(d))
+    value = " + ".join(f"x{i} * x{j} * {of}.{m(i, j)}" for i in range(d) for j in range(d))
+    return (
+        f"{name}_p(n, {cells}) AS (SELECT 0, {scaled_cells} FROM {of} UNION ALL SELECT n + 1, {squared} FROM (SELECT *, {trace2} AS trace2 FROM {name}_p) WHERE n < 60), "
+        f"{name}_x AS (SELECT {axis} FROM {name}_p WHERE n = 60), {name} AS MATERIALIZED (SELECT {name}_x.*, {value} AS value FROM {name}_x, {of})"
+    )
+
+
+def _components_sql() -> str:
+    """CTEs up to ``pc``: rows with the first two components of the z columns."""
+    d = len(ZC)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    cov = ", ".join(f"round(covar_pop({ZC[i]}, {ZC[j]}), 9) AS m{i}{j}" for i, j in pairs)
+    rest = ", ".join(f"m{i}{j} - value * x{i} * x{j} AS m{i}{j}" for i, j in pairs)
+    dots = ", ".join("round(0.0 + " + " + ".join(f"{c} * round({a}.x{i}, 9)" for i, c in enumerate(ZC)) + f", 9) AS pc{n}" for n, a in enumerate(("ax1", "ax2")))
+    return f"{Z.replace('WITH ', 'WITH RECURSIVE ', 1)}, cov AS MATERIALIZED (SELECT {cov} FROM z), {_axis_sql('cov', 'ax1', d)}, cov2 AS MATERIALIZED (SELECT {rest} FROM cov, ax1), {_axis_sql('cov2', 'ax2', d)}, pc AS MATERIALIZED (SELECT z.*, {dots} FROM z, ax1, ax2)"
+
+
+PCS = ["pc0", "pc1"]
+PCA = f"{_components_sql()}, {_lloyd_k('pc', PCS, DEFAULT.pca_k, 'pl')}, pk AS (SELECT pc.*, least({', '.join(_distance_sql(PCS, [f'c{j}_{c}' for c in PCS]) for j in range(DEFAULT.pca_k))}) AS pca_distance, {_nearest_sql(PCS, DEFAULT.pca_k)} AS pca_cluster FROM pc, pl)"
+RARE = "(SELECT pca_cluster FROM pk GROUP BY 1 ORDER BY count(*), 1 LIMIT 1)"
+
+
+@query(f"{PCA} SELECT id, pca_distance, pca_cluster, (pca_cluster = {RARE})::INT AS pca_kmeans_flag FROM pk")
+def pca_kmeans(spark, sf_dir):
+    found = detectors.DETECTORS["pca_kmeans"](detectors.inputs(telemetry(spark, sf_dir), SPEC))
+    return found.select("id", "pca_distance", "pca_cluster", "pca_kmeans_flag")
+
+
+@query(f"{_components_sql()} SELECT id, pc0, pc1 FROM pc")
+def components(spark, sf_dir):
+    rows = scaled(spark, sf_dir)
+    return cluster.project(rows, SPEC.z, cluster.components(rows, SPEC.z, 2)).select("id", *PCS)
+
+
+FUSED_FLAGS = ["kmeans_flag", "pca_kmeans_flag", "static_flag", "adaptive_flag"]
+FUSED = f"""{PCA}, {_lloyd_sql('z', ZC)}, k AS (SELECT id, least({NEAR[0]}, {NEAR[1]}) AS distance FROM z, last_centres),
+d AS (SELECT id, {FAR} AS far FROM f, m), {GRID}, t AS (SELECT threshold FROM g ORDER BY round(abs(n_above / n_rows - {DEFAULT.adaptive_target}), 9), threshold LIMIT 1),
+j AS (SELECT pk.id, {_above('distance', DEFAULT.n_std['kmeans'], 'k')}::INT AS kmeans_flag, (pca_cluster = {RARE})::INT AS pca_kmeans_flag, (far > {DEFAULT.static_z})::INT AS static_flag, (far > t.threshold)::INT AS adaptive_flag FROM pk JOIN k ON pk.id = k.id JOIN d ON pk.id = d.id, t),
+v AS (SELECT *, {' + '.join(FUSED_FLAGS)} AS vote FROM j)"""
+
+
+@query(f"{FUSED} SELECT *, (vote >= 2)::INT AS ensemble FROM v")
+def fused_flags(spark, sf_dir):
+    return detectors.fused(detectors.inputs(telemetry(spark, sf_dir), SPEC)).select("id", *FUSED_FLAGS, "vote", "ensemble")
+
+
+@query(f"{FUSED} SELECT " + ", ".join(f"sum({f})::BIGINT AS {f}" for f in ("kmeans_flag", "pca_kmeans_flag", "adaptive_flag")) + ", sum((kmeans_flag + pca_kmeans_flag + adaptive_flag >= 1)::INT)::BIGINT AS ensemble, count(*) AS n FROM v")
+def step_totals(spark, sf_dir):
+    """The graph of steps for three detectors, with saved results, up to the totals."""
+    steps = dag.anomaly_steps(lambda: telemetry(spark, sf_dir), SPEC, names=["kmeans", "pca_kmeans", "adaptive"])
+    return dag.run_steps(spark, steps, work_folder(spark))["totals"]
+
+
+PARTS = 4
+MERGED = f"{Z}, zs AS MATERIALIZED (SELECT *, ({draw_sql('shard42', 'id')} % {PARTS})::INT AS shard FROM z), {_lloyd_k('zs', ZC, 2, 'ls', 'shard')}, cs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT 2 * grp + {j} AS id, {', '.join(f'c{j}_{c} AS {c}' for c in ZC)} FROM ls" for j in range(2)) + f"), {_lloyd_k('cs', ZC, 2, 'lg', digits=local.MERGED_DIGITS)}, k AS (SELECT z.id, least({', '.join(_distance_sql(ZC, [f'c{j}_{c}' for c in ZC]) for j in range(2))}) AS distance FROM z, lg)"
+
+
+@query(f"{MERGED} SELECT id, distance, {_above('distance', 3.0, 'k')}::INT AS merged_flag FROM k")
+def merged_kmeans(spark, sf_dir):
+    rows = scaled(spark, sf_dir).cache()
+    far, _ = cluster.nearest(SPEC.z, local.merged_centres(rows, "id", SPEC.z, 2, parts=PARTS))
+    return stats.above(rows.withColumn("distance", far), "distance", "merged_flag", 3.0).select("id", "distance", "merged_flag")
+
+
+@query()
+def merged_pca_kmeans(spark, sf_dir):
+    rows = scaled(spark, sf_dir).cache()
+    rows = cluster.project(rows, SPEC.z, cluster.components(rows, SPEC.z, 2))
+    _, at = cluster.nearest(PCS, local.merged_centres(rows, "id", PCS, 2, 4, PARTS))
+    return stats.in_minority(rows.withColumn("cluster", at), "cluster", "merged_flag").select("id", "cluster", "merged_flag")
+
+
+@query()
+def local_mixture(spark, sf_dir):
+    """1 in the least component of the row's own shard: components of two shards don't correspond."""
+    rows = local.hard_mixture_labels(scaled(spark, sf_dir).select("id", *SPEC.z), "id", SPEC.z, 3, "component", PARTS)
+    sizes = rows.groupBy("_shard", "component").count().groupBy("_shard").agg(F.min(F.struct("count", "component"))["component"].alias("_least"))
+    return rows.join(F.broadcast(sizes), "_shard").select("id", "component", (F.col("component") == F.col("_least")).cast("int").alias("local_flag"))
+
+
+@query()
+def local_forests(spark, sf_dir):
+    rows = scaled(spark, sf_dir).cache()
+    scores = local.forest_mean(rows, SPEC.z, local.forests(rows, "id", SPEC.z, parts=PARTS), "iso_score")
+    return stats.above(scores, "iso_score", "isolation_forest_flag", DEFAULT.n_std["isolation_forest"]).select("id", "iso_score", "isolation_forest_flag")
+
+
+@query(f"WITH {TELEMETRY} SELECT id, value FROM f")
+def spread_rows(spark, sf_dir):
+    return local.spread(telemetry(spark, sf_dir).select("id", "value"), PARTS)
+
+
+# -- networks with given weights -------------------------------------------------------------------------------------
+
+WINDOW_SHARDS = "zw AS (SELECT *, floor((row_number() OVER (ORDER BY id) - 1) / greatest(1, ceil((SELECT count(*) FROM z) / 3.0)))::INT AS _shard FROM z)"
+LAGS = [[f"{c}_{n}" for c in ZC] for n in range(pinned.SIZES["window"] - 1, -1, -1)]
+LAGGED = "zl AS (SELECT * FROM (SELECT id, " + ", ".join(f"lag({c}, {n}) OVER o AS {c}_{n}" for n in range(pinned.SIZES["window"]) for c in ZC) + f" FROM zw WINDOW o AS (PARTITION BY _shard ORDER BY id)) WHERE {LAGS[0][0]} IS NOT NULL)"
+
+
+def _pinned(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled(spark, sf_dir)
+        if pinned.net_is_sequence(name):
+            rows = sequence.windows(sequence.seq_shards(rows, "id", 3, "_rn"), "id", SPEC.z, pinned.SIZES["window"], position="_rn")
+            rows = rows.where("window is not null").withColumnRenamed("window", "x")
+        else:
+            rows = rows.withColumn("x", F.array(*SPEC.z))
+        return pinned.score(rows, "id", name, len(SPEC.features))
+
+    return run
+
+
+for _name in pinned.FORWARD:
+    QUERIES[f"{_name}_pinned"] = _pinned(_name)
+    SQL[f"{_name}_pinned"] = f"{Z}, {WINDOW_SHARDS}, {LAGGED}, {pinned.sql(_name, 'zl', LAGS)}" if pinned.net_is_sequence(_name) else f"{Z}, {pinned.sql(_name, 'z', ZC)}"
+
+
 # -- detectors without a SQL form ------------------------------------------------------------------------------------
 
 
@@ -413,7 +568,7 @@ def _detector(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-for _key, _name in {"gmm_minority": "gmm", "pca_kmeans": "pca_kmeans", "isolation_forest": "isolation_forest", "deep_embedding": "deep_embedding", "dagmm": "dagmm", "vae": "vae", "gan": "gan", "usad": "usad", "transformer": "transformer", "lstm": "lstm", "omnianomaly": "omnianomaly"}.items():
+for _key, _name in {"gmm_minority": "gmm", "isolation_forest": "isolation_forest", "deep_embedding": "deep_embedding", "dagmm": "dagmm", "vae": "vae", "gan": "gan", "usad": "usad", "transformer": "transformer", "lstm": "lstm", "omnianomaly": "omnianomaly"}.items():
     QUERIES[_key] = _detector(_name)
 
 
@@ -422,6 +577,11 @@ def full_ensemble(spark, sf_dir):
     return detectors.run_ensemble(telemetry(spark, sf_dir), SPEC, DEFAULT)
 
 
+@query()
+def fourteen_ensemble(spark, sf_dir):
+    return detectors.run_ensemble(telemetry(spark, sf_dir), SPEC, FOURTEEN)
+
+
 @query()
 def four_ensemble(spark, sf_dir):
     from emberline.spec import FOUR

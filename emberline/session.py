@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,3 +28,11 @@ def workers_find_package(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep) if env.get("PYTHONPATH") else []
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder within spark.checkpoint.dir; where that is unset a temporary one, but on this machine alone, as in tests."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='emberline-')}/work-{uuid.uuid4().hex}"

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from emberline.functions.autodiff import Var
 from emberline.functions.forest import Forest
 from emberline.functions.networks import NETWORKS
-from emberline.operators import cluster, density, ensemble, neural, order, sequence, stats
-from emberline.plans import detectors
-from emberline.sources import tables
+from emberline.operators import cluster, density, ensemble, local, neural, order, sequence, stats
+from emberline.plans import dag, detectors
+from emberline.sources import registry, tables
 from emberline.spec import PRESETS, FeatureSpec, Preset
 from emberline.streaming import scoring
 
@@ -249,3 +249,119 @@ def test_stream_scoring(spark, tmp_path):
     q.awaitTermination()
     assert {r["id"]: r["static_flag"] for r in spark.table("flags").collect()} == {r["id"]: r["static_flag"] for r in stats.static_z(rows, AB, 1.0).collect()}
     assert scoring.flag_rates(step(rows)).count() == 2
+
+
+def test_merged_centres_match_lloyd_by_hand(spark):
+    rows = frame(spark, random_rows(60))
+    shard = {r["id"]: r["_shard"] for r in sequence.row_shards(rows, "id", 3).collect()}
+    x = np.array([r[1:] for r in random_rows(60)])
+    parts = [local.lloyd_rows(x[[shard[i] == s for i in range(60)]], 2) for s in range(3)]
+    assert np.allclose(local.merged_centres(rows, "id", ["a", "b"], 2, parts=3), local.lloyd_rows(np.vstack(parts), 2))
+    assert local.merged_centres(rows.where("id < 0"), "id", ["a", "b"], 2, parts=3) == []
+    assert np.allclose(sorted(local.lloyd_rows(x, 2).tolist()), sorted(cluster.lloyd(rows, "id", ["a", "b"], 2)))
+
+
+def test_hard_mixture_separates_and_survives_few_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (80, 2)), rng.normal(12, 0.3, (40, 2))])
+    means, covariances, weights = local.hard_mixture(x, 2)
+    at = local.likeliest(x, means, covariances, weights)
+    assert len(set(at[:80])) == 1 and len(set(at[80:])) == 1 and sorted(np.round(weights, 3)) == [0.333, 0.667]
+    for few in (x[:0], x[:1], np.tile(x[:1], (5, 1))):
+        assert np.isfinite(local.hard_mixture(few, 3)[1]).all()
+    got = local.hard_mixture_labels(frame(spark, [(i, *map(float, r)) for i, r in enumerate(x)]), "id", ["a", "b"], 2, "component", 1).orderBy("id").collect()
+    assert [r["component"] for r in got] == at.tolist()
+
+
+def test_local_forests_match_their_shards(spark):
+    rows = frame(spark, random_rows(90))
+    shard = {r["id"]: r["_shard"] for r in sequence.row_shards(rows, "id", 3).collect()}
+    x = np.array([r[1:] for r in random_rows(90)])
+    want = np.mean([Forest(x[[shard[i] == s for i in range(90)]], 4).score(x) for s in range(3)], axis=0)
+    grown = local.forests(rows, "id", ["a", "b"], trees=12, parts=3)
+    got = local.forest_mean(rows, ["a", "b"], grown, "s").orderBy("id").collect()
+    assert np.allclose([r["s"] for r in got], want)
+    assert local.forest_mean(rows, ["a", "b"], [], "s").first()["s"] == 0.5
+
+
+def test_spread_evens_out_partitions(spark):
+    sizes = local.spread(frame(spark, random_rows(100)).coalesce(1), 4).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and all(abs(r["count"] - 25) <= 4 for r in sizes)  # each source task deals out from a place of its own
+
+
+def test_registry_saves_replaces_and_lists(spark, tmp_path):
+    folder = str(tmp_path / "scores")
+    assert registry.names(spark, folder) == [] and not registry.saved(spark, folder, "a")
+    for n in (3, 5):
+        registry.save(frame(spark, random_rows(n)), folder, "a")
+    assert registry.load(spark, folder, "a").count() == 5 and registry.names(spark, folder) == ["a"]
+    with pytest.raises(KeyError):
+        registry.load(spark, folder, "b")
+    with pytest.raises(ValueError):
+        registry.save(frame(spark, random_rows(1)), folder, "../b")
+
+
+def test_steps_retry_and_go_on_from_saved_results(spark, tmp_path):
+    runs = {"a": 0, "b": 0, "c": 0}
+
+    def made(name, fails=0):
+        def run(*given):
+            runs[name] += 1
+            if runs[name] <= fails:
+                raise RuntimeError(name)
+            return spark.range(sum(g.count() for g in given) + 1)
+
+        return run
+
+    folder = str(tmp_path / "w")
+    steps = [dag.Step("c", made("c", 3), ("a", "b"), 1, 0), dag.Step("a", made("a")), dag.Step("b", made("b", 1), ("a",), 1, 0)]
+    with pytest.raises(RuntimeError):
+        dag.run_steps(spark, steps, folder)
+    assert runs == {"a": 1, "b": 2, "c": 2} and registry.names(spark, folder) == ["a", "b"]
+    assert dag.run_steps(spark, steps, folder)["c"].count() == 4 and runs == {"a": 1, "b": 2, "c": 4}
+    assert dag.run_steps(spark, steps, folder, again=True)["c"].count() == 4 and runs["a"] == 2
+    for bad in ([dag.Step("a", made("a"), ("x",))], [steps[1], steps[1]]):
+        with pytest.raises(ValueError):
+            dag.run_steps(spark, bad, folder)
+
+
+def test_anomaly_steps_vote_as_the_ensemble_does(spark, tmp_path):
+    rows = frame(spark, random_rows(80))
+    done = dag.run_steps(spark, dag.anomaly_steps(lambda: rows, AB, names=["kmeans", "pca_kmeans", "static"], wait_seconds=0), str(tmp_path / "w"))
+    want = detectors.run_ensemble(rows, AB, names=["kmeans", "pca_kmeans", "static"])
+    assert sorted(map(tuple, done["votes"].collect())) == sorted(map(tuple, want.select(*done["votes"].columns).collect()))
+    assert done["report"].count() == 10 and done["totals"].first()["n"] == 80
+
+
+def test_fused_flags_are_those_of_the_detectors(spark):
+    i = detectors.inputs(frame(spark, random_rows(150)), AB)
+    got = {r["id"]: r for r in detectors.fused(i).collect()}
+    for name, flag in (("kmeans", "kmeans_flag"), ("pca_kmeans", "pca_kmeans_flag"), ("adaptive", "adaptive_flag"), ("static", "static_flag")):
+        assert all(got[r["id"]][flag] == r[flag] for r in (detectors.DETECTORS | detectors.FOUR)[name](i).collect())
+    plan = detectors.fused(i)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryTableScan")[0] and "Join" not in plan.split("InMemoryTableScan")[0]
+
+
+def test_jdbc_options_ask_for_ranges():
+    class Reader:
+        def __init__(self):
+            self.read, self.options_, self.format_ = self, {}, None
+
+        def format(self, f):
+            self.format_ = f
+            return self
+
+        def option(self, k, v):
+            self.options_[k] = v
+            return self
+
+        def options(self, **o):
+            self.options_ |= o
+            return self
+
+        def load(self):
+            return self
+
+    got = tables.read_jdbc(Reader(), "jdbc:x", "t", "id", 1, 900, 16, fetchsize="1000")
+    assert got.format_ == "jdbc" and got.options_ == {"url": "jdbc:x", "dbtable": "t", "fetchsize": "1000", "partitionColumn": "id", "lowerBound": 1, "upperBound": 900, "numPartitions": 16}
+    assert "partitionColumn" not in tables.read_jdbc(Reader(), "jdbc:x", "t").options_
