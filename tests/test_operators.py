@@ -428,3 +428,18 @@ def test_scores_skip_nulls_in_any_place(spark):
         got = {r["id"]: r["s"] for r in neural.score(df, "x", "s", net, w, kind).collect()}
         assert all((got[i] is None) == (i % 3 == 0) for i in range(20))
         assert all(np.allclose(got[i], getattr(net, kind)(w, np.array([[float(i), 1.0]]))[0]) for i in range(20) if i % 3)
+
+
+def test_detectors_of_an_ensemble_are_made_together(spark, monkeypatch):
+    gate, rows = threading.Barrier(2), frame(spark, random_rows(30))
+    want = sorted(detectors.run_ensemble(rows, AB, names=["kmeans", "static"]).collect())
+    for n in ("kmeans", "static"):
+        monkeypatch.setitem(detectors.FOUR, n, lambda i, f=detectors.FOUR[n]: (gate.wait(60), f(i))[1])
+    assert sorted(detectors.run_ensemble(rows, AB, names=["kmeans", "static"]).collect()) == want
+
+
+def test_scores_of_networks_are_made_once(spark):
+    found = detectors.DETECTORS["vae"](detectors.inputs(frame(spark, random_rows(40)), AB, Preset(epochs=1)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "vae_score" in plan[: plan.index("InMemoryRelation")].splitlines()[0] and "PythonUDF" not in plan[: plan.index("InMemoryRelation")]
+    assert "vae_score" in next(x for x in plan.splitlines() if "InMemoryRelation" in x)
