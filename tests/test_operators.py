@@ -122,6 +122,23 @@ def test_eps_is_estimated_on_five_thousand_rows(spark):
     assert abs(density.estimate_eps(frame(spark, rows), "id", ["a", "b"], 12, 0.97) - want) < 1e-5
 
 
+@pytest.mark.parametrize("d", [2, 4])
+def test_eps_and_noise_are_of_all_rows_in_any_regions(spark, monkeypatch, d):
+    rng = np.random.default_rng(d)
+    x = np.vstack([rng.normal(0, 0.2, (3500, d)), rng.normal(2, 1.0, (2500, d)), np.repeat(rng.normal(0, 3, (40, d)), 7, axis=0)]).round(3)
+    cols = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols)).cache()
+    want = np.percentile(density.kth_distances(x, 12), 97)
+    far = density._squares(x, x)
+    for size in (300, 1 << 14):
+        monkeypatch.setattr(density, "REGION", size)
+        eps = density.estimate_eps(df, "id", cols, 12, 0.97)
+        assert abs(eps - want) < 1e-6
+        got = density.eps_and_noise(df, "id", cols, 12, 0.97, "f").orderBy("id").collect()
+        near = far <= eps * eps
+        assert [r["f"] for r in got] == (~near[:, near.sum(axis=1) >= 12].any(axis=1)).astype(int).tolist()
+
+
 @pytest.mark.parametrize("n,want", [(4, 0), (5, 1), (6, 2)])
 def test_windows_at_the_shard_size(spark, n, want):
     df = sequence.windows(sequence.seq_shards(frame(spark, random_rows(n)), "id", 1), "id", ["a"], 5)
