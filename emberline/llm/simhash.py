@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial, reduce
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ FAN = 4
 FRONT, STEP = 1 << 19, 1 << 13
 #: Codes of a range, about, and ranges at least.
 CODES, RANGES = 1 << 20, 32
+#: Codes of a bucket: on average at most; up to which all buckets are compared at once; over which by an index; over which by ranges. Rows that a task holds.
+BUCKET, FEW, MANY, HOT, HELD = 2048, 64, 8192, 1 << 16, 1 << 19
 #: Bit number of bit k of byte lane j, at [k, j].
 PLACES = (np.arange(8)[:, None] + 8 * np.arange(8)).astype(np.uint64)
 #: Parts that the rows of one component are dealt into where they meet their component's row.
@@ -335,6 +337,116 @@ def code_links(codes: DataFrame, distance: int = 4, size: int = CODES, least: in
     return sent.repartition(parts, "range").sortWithinPartitions("range", "asks").mapInArrow(partial(_links, distance=distance), "u long, v long")
 
 
+def agreements(n: int, distance: int) -> list[np.uint64]:
+    """Masks of which at least one leaves equal codes of any two that differ in up to ``distance`` bits.
+
+    The 64 bits are cut into blocks; such codes agree on all but ``distance`` of them. There are so many blocks that
+    about BUCKET of ``n`` codes at most agree on a mask.
+    """
+    blocks = distance + 1
+    while n >> (64 * (blocks - distance) // blocks) > BUCKET and blocks < 16:
+        blocks += 1
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in range(i, j)) for i, j in zip(ends, ends[1:])]
+    return [np.uint64(sum(some)) for some in combinations(masks, blocks - distance)]
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], masks: list[np.uint64]) -> Iterator[pa.RecordBatch]:
+    """(fp) -> (key, fp) for each mask; equal masked codes have equal keys."""
+    for b in batches:
+        codes = _uint(b.column(0))
+        for i, mask in enumerate(masks):
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(codes & mask, i + 1).view(np.int64)), b.column(0)], ["key", "fp"])
+
+
+def _near(codes: np.ndarray, first: np.ndarray, size: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of codes, by number, of the same bucket at up to ``distance`` differing bits."""
+    few = size <= FEW
+    starts, left = first[few], size[few]
+    at = np.repeat(starts - (np.cumsum(left) - left), left) + np.arange(left.sum())
+    end = np.repeat(starts + left, left)
+    for step in range(1, FEW):
+        there = at + step < end
+        at, end = at[there], end[there]
+        if not len(at):
+            break
+        near = np.bitwise_count(codes[at] ^ codes[at + step]) <= distance
+        yield at[near], at[near] + step
+    for i, n in zip(first[~few], size[~few]):
+        own = codes[i : i + n]
+        if n > MANY:
+            links, found = RangeLinks(own, distance), np.argsort(gray_rank(own))
+            yield i + found, i + found[links._top(links.root)]
+            continue
+        for j in range(0, n, 256):
+            a, b = np.nonzero(np.bitwise_count(own[j : j + 256, None] ^ own[None, j:]) <= distance)
+            apart = a < b
+            yield i + j + a[apart], i + j + b[apart]
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) in the order of key -> edges (u, v); a code of a bucket of over HOT codes gets one without ``v``."""
+
+    def edges(keys: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[first, len(keys)])
+        hot = size > HOT
+        root = np.arange(len(codes))
+        for a, b in _near(codes, first[~hot], size[~hot], distance):
+            root = _united(root, a, b)
+        root = _top(root, np.arange(len(root)))
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(codes[x].view(np.int64)) for x in (linked, root[linked])], ["u", "v"])
+        for i, n in zip(first[hot], size[hot]):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + n].view(np.int64)), pa.nulls(n, pa.int64())], ["u", "v"])
+
+    keys, codes = [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, c = b.column(0).to_numpy(), _uint(b.column(1))
+        cut_at = int(np.searchsorted(k, k[-1]))  # the last bucket may go on
+        if keys and (cut_at or k[0] != keys[-1][-1]) and sum(map(len, keys)) >= HELD:
+            yield from edges(np.concatenate([*keys, k[:cut_at]]), np.concatenate([*codes, c[:cut_at]]))
+            keys, codes, k, c = [], [], k[cut_at:], c[cut_at:]
+        keys.append(k)
+        codes.append(c)
+    if keys:
+        yield from edges(np.concatenate(keys), np.concatenate(codes))
+
+
+def _top(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        y = root[x]
+        if (y == x).all():
+            return x
+        x = y
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    while len(a):
+        ra, rb = _top(root, a), _top(root, b)
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+    return root
+
+
+def block_links(codes: DataFrame, distance: int = 4) -> DataFrame:
+    """Edges as of :func:`code_links`, which they connect alike, found among codes that agree on blocks of bits.
+
+    A code goes to one bucket for each of :func:`agreements`, so the comparisons hardly grow faster than the codes,
+    whereas in ranges each code is sought in about half of them. Codes of buckets of over HOT codes go to ranges.
+    """
+    n = codes.count()
+    masks = agreements(n, distance)
+    sent = codes.select("fp").mapInArrow(partial(_keyed, masks=masks), "key long, fp long")
+    sent = sent.repartition(max(RANGES, -(-n * len(masks) // CODES)), "key").sortWithinPartitions("key")
+    found = cut(sent.mapInArrow(partial(_bucket_links, distance=distance), "u long, v long"))
+    links, hot = found.where("v is not null"), found.where("v is null")
+    return links if hot.isEmpty() else links.unionByName(code_links(cut(hot.select(F.col("u").alias("fp")).distinct()), distance))
+
+
 def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
     """Rows with distinct ``fp`` -> also ``root``, one code of the component."""
     roots = connected_components(code_links(nodes.select("fp"), distance))
@@ -360,7 +472,7 @@ def representatives(docs: DataFrame, words: int = 5, distance: int = 4, seed: in
     for i in range(many):
         by_code = cut(nodes.groupBy(F.get("fps", F.lit(i)).alias("fp")).agg(F.min("id").alias("id")))
         ends = {x: by_code.withColumnsRenamed({"fp": code, "id": x}).hint("merge") for code, x in (("u", "a"), ("v", "b"))}
-        linked = code_links(by_code.select("fp"), distance).join(ends["a"], "u").join(ends["b"], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        linked = block_links(by_code.select("fp"), distance).join(ends["a"], "u").join(ends["b"], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         same = nodes.select(F.get("fps", F.lit(i)).alias("fp"), F.col("id").alias("u")).join(by_code.hint("merge"), "fp").where("u != id").select("u", F.col("id").alias("v"))
         parts.append(stored(linked.unionByName(same)))
     roots = connected_components(reduce(DataFrame.unionByName, (p for p, _ in parts)))

@@ -576,6 +576,39 @@ def test_code_links_connect_as_all_pairs_do(spark, monkeypatch, size, least, ste
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("bucket,few,many,hot,held", [(2048, 64, 8192, 1 << 16, 1 << 19), (1, 3, 8, 20, 50), (256, 64, 100, 150, 10)])
+def test_block_links_connect_as_all_pairs_do(spark, monkeypatch, bucket, few, many, hot, held):
+    for name, x in zip(("BUCKET", "FEW", "MANY", "HOT", "HELD"), (bucket, few, many, hot, held)):
+        monkeypatch.setattr(simhash, name, x)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    flips = [base.copy() for _ in range(6)]
+    for f in flips:
+        for _ in range(4):
+            f ^= np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, *flips, base[0] ^ rng.integers(0, 256, 150, dtype=np.uint64)]))
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 4
+    for masks in (simhash.agreements(n, 4) for n in (100, 10**7, 10**12)):
+        agree = np.any([(codes[:, None] ^ codes[None]) & m == 0 for m in masks], axis=0)
+        assert agree[near].all()
+    label = np.arange(len(codes))
+    for _ in range(60):
+        label = np.array([label[row].min() for row in near])
+    signed = codes.view(np.int64).tolist()
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.block_links(spark.createDataFrame([(c,) for c in signed], "fp long"))).collect()}
+    groups, want = defaultdict(set), defaultdict(set)
+    for c, x in zip(signed, label):
+        groups[roots.get(c, c)].add(c)
+        want[x].add(c)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_buckets_compare_few_of_the_pairs_of_many_codes():
+    for n in (10**5, 10**6, 10**7, 10**8, 10**9):
+        masks = simhash.agreements(n, 4)
+        assert sum(n >> int(m).bit_count() for m in masks) <= 15 * simhash.BUCKET and len(masks) <= 15
+
+
 def test_upper_nodes_drop_whole_groups_of_the_table():
     texts = duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()
     codes = np.unique(np.array([simhash.fingerprint((t or "").encode()) for (t,) in texts], np.uint64))
