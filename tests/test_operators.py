@@ -229,6 +229,16 @@ def test_all_detectors_vote(spark):
     assert got.where("vote > 14 or vote < 0").count() == 0 and PRESETS["fourteen"].window == 10
 
 
+def test_rounds_of_fits_have_as_many_tasks_as_slots_or_rows_ask_for(spark, monkeypatch):
+    rows = frame(spark, random_rows(200)).repartition(40)
+    slots = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sequence, "repair", lambda df, *_: df)  # keeps the parts
+    got = detectors.inputs(rows, AB).rows
+    assert got.rdd.getNumPartitions() == slots and got.count() == 200
+    monkeypatch.setattr(detectors, "PART_ROWS", 20)
+    assert slots < detectors.inputs(rows, AB).rows.rdd.getNumPartitions() <= 40
+
+
 def test_sink_replaces_and_one_shard_is_read(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (30, 40):
